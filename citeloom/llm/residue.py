@@ -57,7 +57,7 @@ PSEUDO_LATIN = "lorem ipsum dolor amet consec adipis elit tempor labore magna al
 
 # Messages of servers and browsers in place of a page, as they stand at a line's start.
 ERROR_MESSAGES = [
-    r"(?:http )?0 ?[–-]? ?(?:not found|forbidden|bad gateway|service (?:temporarily )?unavailable|internal server error|unauthorized|gateway time-?out|too many requests|bad request)",
+    r"(?:http )?\d{3} ?[–-]? ?(?:not found|forbidden|bad gateway|service (?:temporarily )?unavailable|internal server error|unauthorized|gateway time-?out|too many requests|bad request)",
     r"gateway time-?out",
     r"access denied",
     r"error: the requested page could not be found",
@@ -65,12 +65,12 @@ ERROR_MESSAGES = [
     r"this page has moved or no longer exists",
     r"too many requests\. try again later",
     r"your session has expired\. please log ?in again",
-    r"uncaught \w*error at line 0",
+    r"uncaught \w*error at line \d",
     r"database connection failed",
     r"seite nicht gefunden",
     r"zugriff verweigert\.? bitte melden sie sich an",
     r"page introuvable",
-    r"erreur 0 ?: une erreur interne est survenue",
+    r"erreur \d{3} ?: une erreur interne est survenue",
     r"halaman tidak dijumpai",
     r"ไม่พบหน้าที่คุณต้องการ",
 ]
@@ -93,37 +93,35 @@ def _either(patterns: list[str]) -> str:
 
 
 def _flexible(phrases: list[str]) -> list[str]:
-    """Phrases whose words a line break may part."""
-    return [p.replace(" ?", "[ \\n]?").replace(" ", "[ \\n]") for p in phrases]
+    """Phrases whose words blanks, underscores or a line break may part."""
+    return [p.replace(" ?", r"[\s\u00A0_]*+").replace(" ", r"[\s\u00A0_]++") for p in phrases]
 
 
-#: Where a message begins: at the start of a line or a sentence. Inside a sentence it is wording about the message.
-_SENTENCE_START = r"(?m)(?:^|[.!?] ) ?(?:[#>*|-]+ )?"
-_LATIN = r"\b(?:" + "|".join(PSEUDO_LATIN) + r")(?:[ \n](?:" + "|".join(PSEUDO_LATIN) + r")){4}\b"
-
-
-def normalised(c: Column) -> Column:
-    """Case and blanks folded, digit runs as 0, markup tags dropped; line breaks stay."""
-    s = F.regexp_replace(F.lower(c), r"</?[a-z][a-z0-9]{0,9}/?>", " ")
-    s = F.regexp_replace(s, r"\d+", "0")
-    return F.regexp_replace(F.regexp_replace(s, r"[ \t\x0B\f\u00A0_]+", " "), r" ?[\r\n]+ ?", "\n")
+#: Where a message begins: at the start of a line or a sentence, after markup. Inside a sentence it is wording about it.
+_SENTENCE_START = r"(?imu)(?:^|[.!?][ _])[\s_]*+(?:[#>*|-]++[ _])?(?:<[a-z][a-z0-9]{0,9}>)?"
+_LATIN = r"(?i)\b(?=[acdeilmnqtuv])" + _either(PSEUDO_LATIN) + r"(?:[\s_]" + _either(PSEUDO_LATIN) + r"){4}\b"
+#: The characters that placeholders begin with, so that other places are passed over at once.
+_PLACEHOLDER = r"(?=[\[{<«%@$#])" + _either(PLACEHOLDERS)
+_MESSAGE_END = r"(?:</[a-z]|[ \t\u00A0_]*+(?:[.!(\r\n]|$))"
 
 
 def evidence(raw: Column) -> Column:
     """The kind of evidence a text holds, or null: placeholder, script, error, filler (in this order). Null text: null."""
-    folded = normalised(raw)
-    placeholder = raw.rlike(_either(PLACEHOLDERS))
-    latin = r"\b(?:" + "|".join(PSEUDO_LATIN) + r")(?: (?:" + "|".join(PSEUDO_LATIN) + r")){4}\b"
-    filler = folded.rlike(_LATIN + "|" + _SENTENCE_START + _either(_flexible([p.replace(".", r"\.") for p in FILLER])))
-    script = folded.rlike(_SENTENCE_START + _either(_flexible(SCRIPT_NOTICES)))
-    error = folded.rlike(_SENTENCE_START + _either(_flexible(ERROR_MESSAGES)) + r"(?: ?[.!(]|$)")
-    return F.when(placeholder, "placeholder").when(script, "script").when(error, "error").when(filler, "filler")
+    filler = raw.rlike(_SENTENCE_START + _either(_flexible([p.replace(".", r"\.") for p in FILLER]))) | raw.rlike(_LATIN)
+    script = raw.rlike(_SENTENCE_START + _either(_flexible(SCRIPT_NOTICES)))
+    error = raw.rlike(_SENTENCE_START + _either(_flexible(ERROR_MESSAGES)) + _MESSAGE_END)
+    return F.when(raw.rlike(_PLACEHOLDER), "placeholder").when(script, "script").when(error, "error").when(filler, "filler")
+
+
+def line_key(line: Column) -> Column:
+    """A line without case, outer blanks and the values of its digits, as a 64-bit hash."""
+    return F.xxhash64(F.trim(F.translate(F.lower(line), "123456789", "000000000")))
 
 
 def host_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """Normalised lines per host with the number of pages that hold them: host, line (a 64-bit hash), pages."""
     lines = docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(F.split(normalised(F.col(text)), "\n"), lambda x: F.xxhash64(F.trim(x))))).alias("line")
+        F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"[\r\n]+"), line_key))).alias("line")
     )
     return lines.groupBy("host", "line").agg(F.count("*").alias("pages"))
 
@@ -147,7 +145,7 @@ def find_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     furniture = boilerplate(docs, host, text).groupBy("host").agg(F.collect_set("line").alias("furniture"))
     left = suspects.join(furniture, "host", "left")
     keep = F.filter(
-        F.split("raw", r"[\r\n]+"), lambda x: ~F.coalesce(F.array_contains(F.col("furniture"), F.xxhash64(F.trim(normalised(x)))), F.lit(False))
+        F.split("raw", r"[\r\n]+"), lambda x: ~F.coalesce(F.array_contains(F.col("furniture"), line_key(x)), F.lit(False))
     )
     rest = F.when(F.col("furniture").isNull(), F.col("kind")).otherwise(evidence(F.array_join(keep, "\n")))
     return left.select("doc_id", rest.alias("kind")).where(F.col("kind").isNotNull())
