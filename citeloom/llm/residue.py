@@ -65,7 +65,7 @@ ERROR_MESSAGES = [
     r"this page has moved or no longer exists",
     r"too many requests\. try again later",
     r"your session has expired\. please log ?in again",
-    r"uncaught \w*error at line \d",
+    r"uncaught \w*error at line \d+",
     r"database connection failed",
     r"seite nicht gefunden",
     r"zugriff verweigert\.? bitte melden sie sich an",
