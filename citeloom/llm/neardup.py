@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.plans.components import connected_components
+from citeloom.session import cut_lineage
 
 #: Least share of the words (letters) of each text that agree.
 AGREEMENT = 0.75
@@ -225,7 +226,9 @@ def fold_texts(raw: DataFrame) -> DataFrame:
 def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """band, cell, text, print, role: buckets of at most ``bucket`` texts as they are; of larger ones each pair of blocks.
 
-    The sizes are summed before the shuffle; buckets of one text, which find nothing, are left out here."""
+    One shuffle by band serves both the sizes and the join with them; buckets of one text, which find nothing, are left
+    out here."""
+    signed = signed.repartition("band")
     sizes = signed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     known = signed.join(sizes, "band")
     blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
@@ -284,7 +287,8 @@ def near_duplicate_pairs(records: DataFrame, key: str = "id", one: str = "source
 
     Exact copies (after folding) are compared as one class and expanded at the end."""
     members, texts = record_classes(records, key, one, other)
-    pairs = linked_classes(members, linked_texts(texts))
+    members, links = cut_lineage(members), cut_lineage(linked_texts(texts))
+    pairs = linked_classes(members, links)
     m1 = members.select(F.col("id").alias("i"), "lo", "hi")
     m2 = members.select(F.col("id").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     across = pairs.join(m1, ["lo", "hi"]).join(m2, ["lo2", "hi2"]).select("i", "j")
@@ -296,7 +300,8 @@ def near_duplicate_groups(records: DataFrame, key: str = "id", one: str = "sourc
     """id, group_id, links: every record with a class, the least id of its group, and the number of other classes its own
     is linked to. Copies are members of their class; they aren't paired."""
     members, texts = record_classes(records, key, one, other)
-    pairs = linked_classes(members, linked_texts(texts))
+    members, links = cut_lineage(members), cut_lineage(linked_texts(texts))
+    pairs = cut_lineage(linked_classes(members, links))
     reps = members.groupBy("lo", "hi").agg(F.min("id").alias("rep"))
     named = pairs.join(reps.withColumnRenamed("rep", "src"), ["lo", "hi"]).join(reps.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rep").alias("dst")), ["lo2", "hi2"]).select("src", "dst")
     degree = named.select(F.explode(F.array("src", "dst")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
