@@ -157,8 +157,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, keys = np.empty(n, np.int64), np.empty((n, BANDS), np.int64)
         for i, folded in enumerate(batch.column(1).to_pylist()):
             prints[i], keys[i] = signature(folded)
-        text = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(text), pa.array(np.repeat(prints, BANDS))], names=["band", "text", "print"])
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), bands], names=["text", "print", "bands"])
 
 
 def _search(radius: int):
@@ -226,9 +226,7 @@ def fold_texts(raw: DataFrame) -> DataFrame:
 def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """band, cell, text, print, role: buckets of at most ``bucket`` texts as they are; of larger ones each pair of blocks.
 
-    One shuffle by band serves both the sizes and the join with them; buckets of one text, which find nothing, are left
-    out here."""
-    signed = signed.repartition("band")
+    The sizes are summed before the shuffle; buckets of one text, which find nothing, are left out here."""
     sizes = signed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     known = signed.join(sizes, "band")
     blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
@@ -247,8 +245,8 @@ def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b (a < b): the distinct folded texts that agree. texts: text, folded."""
     one = texts.groupBy("text").agg(F.first("folded").alias("folded"))
-    signed = one.mapInArrow(_sign, "band long, text long, print long")
-    placed = shards(signed, bucket)
+    signed = cut_lineage(one.mapInArrow(_sign, "text long, print long, bands array<long>"))
+    placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print"), bucket)
     found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search(radius), "a long, b long").distinct()
     left = one.select(F.col("text").alias("a"), F.col("folded").alias("x"))
     right = one.select(F.col("text").alias("b"), F.col("folded").alias("y"))
