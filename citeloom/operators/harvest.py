@@ -51,7 +51,7 @@ def harvest(docs: DataFrame, rules: list[Rule], by: list[str], text: str = "text
         hits = docs.select(*by, doc_pos, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(1))).alias("at", "n"), *([F.col(text)] if rule.until else []))
         if rule.until:
             last = F.element_at(F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(rule.until)), F.col("at") + 1)
-            hits = hits.select(*by, "doc_pos", "at", F.explode(expand_range(F.col("n").try_cast("long"), last.try_cast("long"))).cast("string").alias("n"))
+            hits = hits.select(*by, "doc_pos", "at", F.explode(expand_range(F.col("n").try_cast("long"), last.try_cast("long"))).alias("n")).withColumn("n", F.col("n").cast("string"))
         shown = F.concat(*[F.lit(p) if p != "{n}" else ascii_digits(F.col("n")) for p in _parts(rule.display)])
         part = hits.select(*by, "doc_pos", F.lit(no).alias("pass"), "at", canonical_citation(shown).alias("canonical"), shown.alias("display"))
         out = part if out is None else out.unionByName(part)

@@ -27,12 +27,13 @@ def scored(rows: DataFrame) -> DataFrame:
 
 
 def slice_measures() -> list[Column]:
-    """n, mean match, mean score and share of high scores; 0 where there are no rows."""
+    """n, mean match, mean score and share of high scores; 0 where there are no rows. Scores are summed in millionths, so
+    the mean doesn't depend on the order of the rows."""
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return [
         F.count("*").alias("n"),
         zero(F.avg("match")).alias("tier1_citation_match"),
-        zero(F.avg("score")).alias("tier2_judge_mean"),
+        F.coalesce(F.round(F.try_divide(F.sum(F.round(F.col("score") * 1_000_000).cast("long")), F.count("*"))) / 1_000_000, F.lit(0.0)).alias("tier2_judge_mean"),
         zero(F.avg((F.col("score") >= HIGH_SCORE).cast("int"))).alias("tier2_judge_pct_above_0_7"),
     ]
 
