@@ -41,7 +41,7 @@ GOLD_FIELDS = ["id", *[f"{s}_{f}" for s in ("source", "target") for f in ("juris
 
 def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(valid pairs, bad lines): bad lines carry file, line number and what is wrong. Lines end at \\n alone."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("no", "line"))
     v = F.try_parse_json(F.col("line"))
     missing = F.array(*[F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")) == "STRING", F.lit(False)), F.lit(f)) for f in GOLD_FIELDS])
     rows = lines.where(F.trim("line") != "").select("file", (F.col("no") + 1).alias("line_no"), v.alias("v"), F.array_compact(missing).alias("missing"))
