@@ -2,7 +2,9 @@
 
 Texts are folded (case, punctuation, spacing) and exact copies made one. Each distinct text gets a 64-bit fingerprint
 (the signs of summed hashes of its word pairs, so the order of sentences hardly shows) and BANDS band keys, each made
-from the minima of two hash functions over its word shingles. A band bucket is a shard: its fingerprints form a BK-tree, whose children
+from the minimum of one hash function over its word shingles or from those of two, phrases that stand all over the corpus
+left aside (they are counted over all texts). Two texts that share a third of their shingles have a band in common with
+99 %, two that share half with 99.99 %. A band bucket is a shard: its fingerprints form a BK-tree, whose children
 are keyed by their Hamming distance to the parent, and a lookup follows only edges within RADIUS of its own distance.
 What the trees return is checked by the texts' words (letters, in scripts without spaces).
 
@@ -30,19 +32,23 @@ from citeloom.session import cut_lineage
 
 #: Least share of the words (letters) of each text that agree.
 AGREEMENT = 0.75
-#: Words of a shingle, letters of one in scripts without spaces, bands, and hash functions a band joins.
-SHINGLE, LETTER_SHINGLE, BANDS, ROWS = 5, 20, 24, 2
+#: Words of a shingle, letters of one in scripts without spaces; bands of one hash function and bands of two.
+SHINGLE, LETTER_SHINGLE, SINGLES, DOUBLES = 3, 12, 2, 32
+BANDS = SINGLES + DOUBLES
 #: Most differing bits of the fingerprints of two candidates.
-RADIUS = 26
+RADIUS = 24
 #: Texts of a block of a bucket.
 BUCKET = 2000
+#: Counters that shingles are counted in, whatever the number of texts, and the share of all texts from which on a
+#: counter's shingles are phrases of the genre: they don't make band keys.
+SLOTS, FREQUENT = 1 << 16, 0.005
 
 _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"[^\W_]+(?:[ัิ-ฺ็-๎]+[^\W_]*)*")
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
-_MULTIPLIERS = (_rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLIERS = (_rng.integers(1, 1 << 62, SINGLES + 2 * DOUBLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADDENDS = _rng.integers(0, 1 << 62, SINGLES + 2 * DOUBLES, dtype=np.uint64)
 
 
 def fold(text: str | None) -> str:
@@ -89,21 +95,28 @@ def _windows(values: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
-def signature(folded: str) -> tuple[int, np.ndarray]:
-    """The fingerprint (signed 64 bits) and the band keys of a folded text that isn't empty."""
+def shingles_of(folded: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the neighbouring pairs and of the shingles of a folded text that isn't empty."""
+    if " " not in folded and _THAI.search(folded):
+        values = _mix(np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64))
+        return np.concatenate([_windows(values, 2), _windows(values, 4)]), _windows(values, LETTER_SHINGLE)
+    values = _mix(np.array([zlib.crc32(w.encode()) for w in folded.split(" ")], np.uint64))
+    return np.concatenate([values, _windows(values, 2)]), _windows(values, SHINGLE)
+
+
+def signature(folded: str, frequent: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """The fingerprint (signed 64 bits) and the band keys of a folded text that isn't empty. ``frequent``: which slots
+    hold phrases of the genre; a text of such phrases alone keeps them."""
     with np.errstate(over="ignore"):
-        if " " not in folded and _THAI.search(folded):
-            values = _mix(np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64))
-            pairs, shingles = _windows(values, 4), _windows(values, LETTER_SHINGLE)
-        else:
-            values = _mix(np.array([zlib.crc32(w.encode()) for w in folded.split(" ")], np.uint64))
-            pairs, shingles = _windows(values, 2), _windows(values, SHINGLE)
+        pairs, shingles = shingles_of(folded)
+        if frequent is not None:
+            own = shingles[~frequent[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)]]
+            shingles = own if len(own) else shingles
         bits = np.unpackbits(pairs.view(np.uint8).reshape(len(pairs), 8), axis=1).sum(0, dtype=np.int64) * 2 > len(pairs)
         fingerprint = int(np.packbits(bits).view(np.int64)[0])
         least = _mix(shingles[:, None] * _MULTIPLIERS + _ADDENDS).min(0)
-        keys = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            keys = _mix(keys * np.uint64(31) + least[r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
+        pairs_of = _mix(least[SINGLES : SINGLES + DOUBLES] * np.uint64(31) + least[SINGLES + DOUBLES :])
+        keys = _mix(np.concatenate([least[:SINGLES], pairs_of]) + np.arange(1, BANDS + 1, dtype=np.uint64))
     return fingerprint, keys.view(np.int64)
 
 
@@ -149,16 +162,42 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["raw", "folded"])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts, texts = np.zeros(SLOTS, np.int64), 0
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        prints, keys = np.empty(n, np.int64), np.empty((n, BANDS), np.int64)
-        for i, folded in enumerate(batch.column(1).to_pylist()):
-            prints[i], keys[i] = signature(folded)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), bands], names=["text", "print", "bands"])
+        for folded in batch.column(0).to_pylist():
+            with np.errstate(over="ignore"):
+                slots = np.unique(shingles_of(folded)[1] & np.uint64(SLOTS - 1)).astype(np.int64)
+            counts[slots] += 1
+            texts += 1
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], texts))], names=["slot", "n"])
+
+
+def frequent_slots(texts: DataFrame) -> np.ndarray:
+    """Which of the SLOTS counters hold shingles of FREQUENT of all texts or more. Each task counts all of its texts in
+    the same number of counters; the driver gets SLOTS flags at most."""
+    counted = texts.select("folded").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = counted.where("slot < 0").select(F.col("n").alias("total"))
+    over = counted.where("slot >= 0").crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.col("total") * FREQUENT, F.lit(50))).select("slot")  # total is one row
+    flags = np.zeros(SLOTS, bool)
+    flags[[r.slot for r in over.collect()]] = True
+    return flags
+
+
+def _sign(frequent: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            prints, keys = np.empty(n, np.int64), np.empty((n, BANDS), np.int64)
+            for i, folded in enumerate(batch.column(1).to_pylist()):
+                prints[i], keys[i] = signature(folded, frequent)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), bands], names=["text", "print", "bands"])
+
+    return run
 
 
 def _search(radius: int):
@@ -245,7 +284,7 @@ def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b (a < b): the distinct folded texts that agree. texts: text, folded."""
     one = texts.groupBy("text").agg(F.first("folded").alias("folded"))
-    signed = cut_lineage(one.mapInArrow(_sign, "text long, print long, bands array<long>"))
+    signed = cut_lineage(one.mapInArrow(_sign(frequent_slots(one)), "text long, print long, bands array<long>"))
     placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print"), bucket)
     found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search(radius), "a long, b long").distinct()
     left = one.select(F.col("text").alias("a"), F.col("folded").alias("x"))
