@@ -1,10 +1,10 @@
 """Groups of records that share their two texts but for small edits, through BK-trees over Hamming distance.
 
-Texts are folded (case, punctuation, spacing) and exact copies made one. Each distinct text gets a 64-bit fingerprint
-(the signs of summed hashes of its word pairs, so the order of sentences hardly shows) and BANDS band keys, each made
-from the minimum of one hash function over its word shingles or from those of two, phrases that stand all over the corpus
-left aside (they are counted over all texts). Two texts that share a third of their shingles have a band in common with
-99 %, two that share half with 99.99 %. A band bucket is a shard: its fingerprints form a BK-tree, whose children
+Texts are folded (case, punctuation, spacing) and exact copies made one. Each distinct text gets a 128-bit fingerprint
+(the signs of the summed hashes of its words, so the order of sentences doesn't show) and BANDS band keys, each made
+from the minima of two hash functions over its word shingles, phrases that stand all over the corpus left aside (they are
+counted over all texts). Two texts that share a third of their shingles have a band in common with
+99 %, two that share half with 99.999 %. A band bucket is a shard: its fingerprints form a BK-tree, whose children
 are keyed by their Hamming distance to the parent, and a lookup follows only edges within RADIUS of its own distance.
 What the trees return is checked by the texts' words (letters, in scripts without spaces).
 
@@ -32,11 +32,10 @@ from citeloom.session import cut_lineage
 
 #: Least share of the words (letters) of each text that agree.
 AGREEMENT = 0.75
-#: Words of a shingle, letters of one in scripts without spaces; bands of one hash function and bands of two.
-SHINGLE, LETTER_SHINGLE, SINGLES, DOUBLES = 3, 12, 2, 32
-BANDS = SINGLES + DOUBLES
+#: Words of a shingle, letters of one in scripts without spaces, and bands.
+SHINGLE, LETTER_SHINGLE, BANDS = 4, 16, 40
 #: Most differing bits of the fingerprints of two candidates.
-RADIUS = 24
+RADIUS = 32
 #: Texts of a block of a bucket.
 BUCKET = 2000
 #: Counters that shingles are counted in, whatever the number of texts, and the share of all texts from which on a
@@ -47,8 +46,8 @@ _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"[^\W_]+(?:[ัิ-ฺ็-๎]+[^\W_]*)*")
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
-_MULTIPLIERS = (_rng.integers(1, 1 << 62, SINGLES + 2 * DOUBLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 62, SINGLES + 2 * DOUBLES, dtype=np.uint64)
+_MULTIPLIERS = (_rng.integers(1, 1 << 62, 2 * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADDENDS = _rng.integers(0, 1 << 62, 2 * BANDS, dtype=np.uint64)
 
 
 def fold(text: str | None) -> str:
@@ -96,27 +95,28 @@ def _windows(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingles_of(folded: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the neighbouring pairs and of the shingles of a folded text that isn't empty."""
+    """Hashes of the words (in scripts without spaces of runs of two and three letters) and of the shingles of a folded
+    text that isn't empty."""
     if " " not in folded and _THAI.search(folded):
         values = _mix(np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64))
-        return np.concatenate([_windows(values, 2), _windows(values, 4)]), _windows(values, LETTER_SHINGLE)
+        return np.concatenate([_windows(values, 2), _windows(values, 3)]), _windows(values, LETTER_SHINGLE)
     values = _mix(np.array([zlib.crc32(w.encode()) for w in folded.split(" ")], np.uint64))
-    return np.concatenate([values, _windows(values, 2)]), _windows(values, SHINGLE)
+    return values, _windows(values, SHINGLE)
 
 
-def signature(folded: str, frequent: np.ndarray | None = None) -> tuple[int, np.ndarray]:
-    """The fingerprint (signed 64 bits) and the band keys of a folded text that isn't empty. ``frequent``: which slots
+def signature(folded: str, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint (two signed integers of 64 bits) and the band keys of a folded text that isn't empty. ``frequent``: which slots
     hold phrases of the genre; a text of such phrases alone keeps them."""
     with np.errstate(over="ignore"):
-        pairs, shingles = shingles_of(folded)
+        words, shingles = shingles_of(folded)
         if frequent is not None:
             own = shingles[~frequent[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)]]
             shingles = own if len(own) else shingles
-        bits = np.unpackbits(pairs.view(np.uint8).reshape(len(pairs), 8), axis=1).sum(0, dtype=np.int64) * 2 > len(pairs)
-        fingerprint = int(np.packbits(bits).view(np.int64)[0])
+        wide = np.stack([words, _mix(words ^ np.uint64(0x5DEECE66D))], axis=1)
+        bits = np.unpackbits(wide.view(np.uint8).reshape(len(words), 16), axis=1).sum(0, dtype=np.int64) * 2 > len(words)
+        fingerprint = np.packbits(bits).view(np.int64)
         least = _mix(shingles[:, None] * _MULTIPLIERS + _ADDENDS).min(0)
-        pairs_of = _mix(least[SINGLES : SINGLES + DOUBLES] * np.uint64(31) + least[SINGLES + DOUBLES :])
-        keys = _mix(np.concatenate([least[:SINGLES], pairs_of]) + np.arange(1, BANDS + 1, dtype=np.uint64))
+        keys = _mix(least[:BANDS] * np.uint64(31) + least[BANDS:] + np.arange(1, BANDS + 1, dtype=np.uint64))
     return fingerprint, keys.view(np.int64)
 
 
@@ -191,11 +191,11 @@ def _sign(frequent: np.ndarray):
             n = batch.num_rows
             if not n:
                 continue
-            prints, keys = np.empty(n, np.int64), np.empty((n, BANDS), np.int64)
+            prints, keys = np.empty((n, 2), np.int64), np.empty((n, BANDS), np.int64)
             for i, folded in enumerate(batch.column(1).to_pylist()):
                 prints[i], keys[i] = signature(folded, frequent)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), bands], names=["text", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), bands], names=["text", "print", "more", "bands"])
 
     return run
 
@@ -208,13 +208,13 @@ def _search(radius: int):
         tree = BKTree()
         ones = [r for r in rows if r[2] == 1]
         for text, fp, _ in ones:
-            tree.add(fp & _MASK, text)
+            tree.add(fp, text)
         for text, fp, role in rows:
             if role == 1:
                 continue
-            out += [(min(text, o), max(text, o)) for o in tree.within(fp & _MASK, radius) if o != text]
+            out += [(min(text, o), max(text, o)) for o in tree.within(fp, radius) if o != text]
             if role == 0:
-                tree.add(fp & _MASK, text)
+                tree.add(fp, text)
 
     def emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = list(set(pairs))
@@ -226,7 +226,7 @@ def _search(radius: int):
             if not batch.num_rows:
                 continue
             band, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            text, fp, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            text, high, low, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
             edges = np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1
             bounds = [0, *edges.tolist(), len(band)]
             for lo, hi in zip(bounds, bounds[1:]):
@@ -235,7 +235,9 @@ def _search(radius: int):
                     if len(rows) > 1:
                         shard(rows, out)
                     key, rows = here, []
-                rows += zip(text[lo:hi].tolist(), fp[lo:hi].tolist(), role[lo:hi].tolist())
+                if hi - lo > 1 or rows or hi == len(band):
+                    prints = [((h & _MASK) << 64) | (w & _MASK) for h, w in zip(high[lo:hi].tolist(), low[lo:hi].tolist())]
+                    rows += zip(text[lo:hi].tolist(), prints, role[lo:hi].tolist())
             if len(out) > 50_000:
                 yield emit(out)
                 out = []
@@ -263,7 +265,7 @@ def fold_texts(raw: DataFrame) -> DataFrame:
 
 
 def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """band, cell, text, print, role: buckets of at most ``bucket`` texts as they are; of larger ones each pair of blocks.
+    """band, cell, text, print, more, role: buckets of at most ``bucket`` texts as they are; of larger ones each pair of blocks.
 
     The sizes are summed before the shuffle; buckets of one text, which find nothing, are left out here."""
     sizes = signed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -278,14 +280,14 @@ def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
             ),
         )
     )
-    return known.select("band", "text", "print", F.explode(cells).alias("c")).select("band", F.col("c.cell").alias("cell"), "text", "print", F.col("c.role").alias("role"))
+    return known.select("band", "text", "print", "more", F.explode(cells).alias("c")).select("band", F.col("c.cell").alias("cell"), "text", "print", "more", F.col("c.role").alias("role"))
 
 
 def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b (a < b): the distinct folded texts that agree. texts: text, folded."""
     one = texts.groupBy("text").agg(F.first("folded").alias("folded"))
-    signed = cut_lineage(one.mapInArrow(_sign(frequent_slots(one)), "text long, print long, bands array<long>"))
-    placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print"), bucket)
+    signed = cut_lineage(one.mapInArrow(_sign(frequent_slots(one)), "text long, print long, more long, bands array<long>"))
+    placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print", "more"), bucket)
     found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search(radius), "a long, b long").distinct()
     left = one.select(F.col("text").alias("a"), F.col("folded").alias("x"))
     right = one.select(F.col("text").alias("b"), F.col("folded").alias("y"))
