@@ -176,12 +176,12 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_slots(texts: DataFrame) -> np.ndarray:
     """Which of the SLOTS counters hold shingles of FREQUENT of all texts or more. Each task counts all of its texts in
-    the same number of counters; the driver gets SLOTS flags at most."""
+    the same number of counters; the driver gets SLOTS sums at most, however many texts there are."""
     counted = texts.select("folded").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = counted.where("slot < 0").select(F.col("n").alias("total"))
-    over = counted.where("slot >= 0").crossJoin(F.broadcast(total)).where(F.col("n") >= F.greatest(F.col("total") * FREQUENT, F.lit(50))).select("slot")  # total is one row
+    n = {r.slot: r.n for r in counted.collect()}
+    least = max(n.pop(-1, 0) * FREQUENT, 50)
     flags = np.zeros(SLOTS, bool)
-    flags[[r.slot for r in over.collect()]] = True
+    flags[[slot for slot, k in n.items() if k >= least]] = True
     return flags
 
 
