@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -274,13 +275,15 @@ def blocks(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterat
         yield block
 
 
-def _scan(shared):
-    cache: dict = {}
+@lru_cache(maxsize=1)
+def _scanner(block: tuple[tuple[int, str], ...]) -> Scanner:
+    """The last block's scanner, kept by a worker from task to task."""
+    return Scanner(list(block))
+
 
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "scanner" not in cache:
-            cache["scanner"] = Scanner(shared.value)
-        scanner = cache["scanner"]
+        scanner = _scanner(shared.value)
         for batch in batches:
             keys, items = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -299,6 +302,6 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("text").isNotNull())
     out = None
     for block in blocks(items):
-        part = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block)), "doc_id long, item_id long")
+        part = texts.mapInArrow(_scan(spark.sparkContext.broadcast(tuple(block))), "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], "doc_id long, item_id long") if out is None else out.distinct()
