@@ -87,8 +87,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus without the documents that hold residue."""
-    docs = table(spark, folder, "documents")
-    return docs.join(p10_found(spark, folder), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+    return residue.without_residue(table(spark, folder, "documents"))
 
 
 QUERIES = {

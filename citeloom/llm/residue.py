@@ -149,3 +149,13 @@ def find_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     )
     rest = F.when(F.col("furniture").isNull(), F.col("kind")).otherwise(evidence(F.array_join(keep, "\n")))
     return left.select("doc_id", rest.alias("kind")).where(F.col("kind").isNotNull())
+
+
+def without_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
+    """The corpus without the documents that hold residue, all columns kept; null and blank texts stay. Texts without any
+    evidence pass where they are; only the few others are joined with what was found. Of rows with the same key and
+    evidence, all go if one does."""
+    found = find_residue(docs, key, host, text).select(F.col("doc_id").alias("_found")).distinct()
+    passed = docs.where(evidence(F.col(text)).isNull())
+    doubtful = docs.where(evidence(F.col(text)).isNotNull())
+    return passed.unionByName(doubtful.join(found, F.col(key) == F.col("_found"), "left_anti"))

@@ -224,3 +224,9 @@ def test_boilerplate_is_subtracted(spark):
 def test_residue_in_a_long_text(spark):
     long = "the act applies. " * 30_000
     assert residue.find_residue(docs(spark, [long, long + "\n\n[INSERT title]", long])).collect()[0].doc_id == 1
+
+
+def test_the_rest_of_the_corpus(spark):
+    d = docs(spark, RESIDUE + CONTENT)
+    rest = residue.without_residue(d)
+    assert rest.columns == d.columns and {r.doc_id for r in rest.collect()} == set(range(len(RESIDUE), len(RESIDUE) + len(CONTENT)))
