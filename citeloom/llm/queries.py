@@ -65,7 +65,7 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return calibration.draw(table(spark, folder, "eval_rows"), table(spark, folder, "sample_targets"))[1]
+    return calibration.gap_report(table(spark, folder, "eval_rows"), table(spark, folder, "sample_targets"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
