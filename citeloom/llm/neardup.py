@@ -2,11 +2,11 @@
 
 Texts are folded (case, punctuation, spacing) and exact copies made one. Each distinct text gets a 128-bit fingerprint
 (the signs of the summed hashes of its words, so the order of sentences doesn't show) and BANDS band keys, each made
-from the minima of two hash functions over its word shingles, phrases that stand all over the corpus left aside (they are
-counted over all texts). Two texts that share a third of their shingles have a band in common with
-99 %, two that share half with 99.999 %. A band bucket is a shard: its fingerprints form a BK-tree, whose children
-are keyed by their Hamming distance to the parent, and a lookup follows only edges within RADIUS of its own distance.
-What the trees return is checked by the texts' words (letters, in scripts without spaces).
+from the minima of two hash functions over all its word shingles, however many other texts hold them: in a large group
+of near copies the frequent shingles are just those that its members share. Two texts that share a third of their
+shingles have a band in common with 99 %, two that share half with 99.999 %. A band bucket is a shard: its fingerprints
+form a BK-tree, whose children are keyed by their Hamming distance to the parent, and a lookup follows only edges within
+RADIUS of its own distance. What the trees return is checked by the texts' words (letters, in scripts without spaces).
 
 A bucket with more than BUCKET texts is split into blocks, and each pair of blocks is a shard of its own: nothing is cut
 off and no task holds more than two blocks. Fingerprints and links never go to the driver.
@@ -38,9 +38,6 @@ SHINGLE, LETTER_SHINGLE, BANDS = 4, 16, 40
 RADIUS = 32
 #: Texts of a block of a bucket.
 BUCKET = 2000
-#: Counters that shingles are counted in, whatever the number of texts, and the share of all texts from which on a
-#: counter's shingles are phrases of the genre: they don't make band keys.
-SLOTS, FREQUENT = 1 << 16, 0.005
 
 _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"[^\W_]+(?:[ัิ-ฺ็-๎]+[^\W_]*)*")
@@ -104,14 +101,10 @@ def shingles_of(folded: str) -> tuple[np.ndarray, np.ndarray]:
     return values, _windows(values, SHINGLE)
 
 
-def signature(folded: str, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint (two signed integers of 64 bits) and the band keys of a folded text that isn't empty. ``frequent``: which slots
-    hold phrases of the genre; a text of such phrases alone keeps them."""
+def signature(folded: str) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint (two signed integers of 64 bits) and the band keys of a folded text that isn't empty."""
     with np.errstate(over="ignore"):
         words, shingles = shingles_of(folded)
-        if frequent is not None:
-            own = shingles[~frequent[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)]]
-            shingles = own if len(own) else shingles
         wide = np.stack([words, _mix(words ^ np.uint64(0x5DEECE66D))], axis=1)
         bits = np.unpackbits(wide.view(np.uint8).reshape(len(words), 16), axis=1).sum(0, dtype=np.int64) * 2 > len(words)
         fingerprint = np.packbits(bits).view(np.int64)
@@ -162,42 +155,16 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["raw", "folded"])
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, texts = np.zeros(SLOTS, np.int64), 0
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for folded in batch.column(0).to_pylist():
-            with np.errstate(over="ignore"):
-                slots = np.unique(shingles_of(folded)[1] & np.uint64(SLOTS - 1)).astype(np.int64)
-            counts[slots] += 1
-            texts += 1
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(counts[used], texts))], names=["slot", "n"])
-
-
-def frequent_slots(texts: DataFrame) -> np.ndarray:
-    """Which of the SLOTS counters hold shingles of FREQUENT of all texts or more. Each task counts all of its texts in
-    the same number of counters; the driver gets SLOTS sums at most, however many texts there are."""
-    counted = texts.select("folded").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    n = {r.slot: r.n for r in counted.collect()}
-    least = max(n.pop(-1, 0) * FREQUENT, 50)
-    flags = np.zeros(SLOTS, bool)
-    flags[[slot for slot, k in n.items() if k >= least]] = True
-    return flags
-
-
-def _sign(frequent: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            prints, keys = np.empty((n, 2), np.int64), np.empty((n, BANDS), np.int64)
-            for i, folded in enumerate(batch.column(1).to_pylist()):
-                prints[i], keys[i] = signature(folded, frequent)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), bands], names=["text", "print", "more", "bands"])
-
-    return run
+        n = batch.num_rows
+        if not n:
+            continue
+        prints, keys = np.empty((n, 2), np.int64), np.empty((n, BANDS), np.int64)
+        for i, folded in enumerate(batch.column(1).to_pylist()):
+            prints[i], keys[i] = signature(folded)
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), bands], names=["text", "print", "more", "bands"])
 
 
 def _search(radius: int):
@@ -286,7 +253,7 @@ def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b (a < b): the distinct folded texts that agree. texts: text, folded."""
     one = texts.groupBy("text").agg(F.first("folded").alias("folded"))
-    signed = cut_lineage(one.mapInArrow(_sign(frequent_slots(one)), "text long, print long, more long, bands array<long>"))
+    signed = cut_lineage(one.mapInArrow(_sign, "text long, print long, more long, bands array<long>"))
     placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print", "more"), bucket)
     found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search(radius), "a long, b long").distinct()
     left = one.select(F.col("text").alias("a"), F.col("folded").alias("x"))

@@ -119,6 +119,20 @@ def test_pairs_with_nulls_copies_and_roles(spark):
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0 == neardup.near_duplicate_groups(df.limit(0)).count()
 
 
+def test_groups_larger_than_any_share_of_the_texts(spark):
+    rng = random.Random(6)
+    kept, thai = [f"w{i}" for i in range(50)], [chr(0x0E01 + rng.randrange(40)) for _ in range(150)]
+    texts = [" ".join(kept), "".join(thai)]
+    for n in range(150):
+        words, letters = list(kept), list(thai)
+        words[rng.randrange(50)], letters[rng.randrange(150)] = f"x{n}", "ๆ"
+        texts += [" ".join(words), "".join(letters)]
+    texts = sorted({neardup.fold(t) for t in texts})
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and neardup.agreement(a, b) >= neardup.AGREEMENT}
+    got = {(r.a, r.b) for r in neardup.linked_texts(spark.createDataFrame(list(enumerate(texts)), "text long, folded string")).collect()}
+    assert got == want and len(want) > 10_000
+
+
 # p6
 
 
