@@ -1,8 +1,10 @@
 """Template residue, filler, error pages and script notices.
 
 Lines are normalised (white space and case folded, digit runs as 0) and counted per host; lines that stand on a fixed
-share of a host's pages are its boilerplate and are subtracted. What is left of a text is searched for evidence:
-unfilled placeholders, filler text, error messages, notices that scripts are required. All of it runs in the JVM.
+share of a host's pages are its boilerplate. Texts are searched for evidence: unfilled placeholders, filler text, error
+messages, notices that scripts are required. The first three count wherever they stand and however often they recur. A
+notice that is its host's boilerplate is subtracted where the page has something of its own beside it; where nothing else
+is left, it stands in place of the page and counts. All of it runs in the JVM.
 """
 
 from __future__ import annotations
@@ -100,17 +102,21 @@ def _flexible(phrases: list[str]) -> list[str]:
 #: Where a message begins: at the start of a line or a sentence, after markup. Inside a sentence it is wording about it.
 _SENTENCE_START = r"(?imu)(?:^|[.!?][ _])[\s_]*+(?:[#>*|-]++[ _])?(?:<[a-z][a-z0-9]{0,9}>)?"
 _LATIN = r"(?i)\b(?=[acdeilmnqtuv])" + _either(PSEUDO_LATIN) + r"(?:[\s_]" + _either(PSEUDO_LATIN) + r"){4}\b"
+_SCRIPT = _SENTENCE_START + _either(_flexible(SCRIPT_NOTICES))
+_SIGN = r"[\p{L}\p{N}]"
 #: The characters that placeholders begin with, so that other places are passed over at once.
 _PLACEHOLDER = r"(?=[\[{<«%@$#])" + _either(PLACEHOLDERS)
 _MESSAGE_END = r"(?:</[a-z]|[ \t\u00A0_]*+(?:[.!(\r\n]|$))"
 
 
-def evidence(raw: Column) -> Column:
-    """The kind of evidence a text holds, or null: placeholder, script, error, filler (in this order). Null text: null."""
+def evidence(raw: Column, notices: bool = True) -> Column:
+    """The kind of evidence a text holds, or null: placeholder, script (with ``notices``), error, filler (in this order). Null text: null."""
     filler = raw.rlike(_SENTENCE_START + _either(_flexible([p.replace(".", r"\.") for p in FILLER]))) | raw.rlike(_LATIN)
-    script = raw.rlike(_SENTENCE_START + _either(_flexible(SCRIPT_NOTICES)))
+    script = raw.rlike(_SCRIPT)
     error = raw.rlike(_SENTENCE_START + _either(_flexible(ERROR_MESSAGES)) + _MESSAGE_END)
-    return F.when(raw.rlike(_PLACEHOLDER), "placeholder").when(script, "script").when(error, "error").when(filler, "filler")
+    found = F.when(raw.rlike(_PLACEHOLDER), "placeholder")
+    found = found.when(script, "script") if notices else found
+    return found.when(error, "error").when(filler, "filler")
 
 
 def line_key(line: Column) -> Column:
@@ -118,10 +124,17 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(F.translate(F.lower(line), "123456789", "000000000")))
 
 
+def exact_key(line: Column) -> Column:
+    """As line_key, but with the values of the digits."""
+    folded = F.trim(F.lower(line))
+    return F.when(folded.rlike("[0-9]"), F.xxhash64(folded, F.lit(1))).otherwise(line_key(line))
+
+
 def host_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """Normalised lines per host with the number of pages that hold them: host, line (a 64-bit hash), pages."""
+    """Normalised and exact lines per host with the number of pages that hold them: host, line (a 64-bit hash), pages."""
     lines = docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(F.split(F.col(text), r"[\r\n]+"), line_key))).alias("line")
+        F.coalesce(F.col(host), F.lit("")).alias("host"),
+        F.explode(F.array_distinct(F.flatten(F.transform(F.split(F.col(text), r"[\r\n]+"), lambda x: F.array(line_key(x), exact_key(x)))))).alias("line"),
     )
     return lines.groupBy("host", "line").agg(F.count("*").alias("pages"))
 
@@ -134,21 +147,27 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text") -> Da
 
 
 def find_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, kind of every document with evidence left after its host's boilerplate is subtracted.
+    """doc_id, kind of every document with evidence; where that is only notices, with some left after its host's boilerplate
+    is subtracted, or with nothing left at all.
 
     Null and blank texts have none. Rows with the same key are judged each and may both come out. Only documents with
-    evidence in their whole text are taken apart into lines.
+    notices are taken apart into lines.
     """
     suspects = docs.select(
         F.col(key).alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(text).alias("raw"), evidence(F.col(text)).alias("kind")
     ).where(F.col("kind").isNotNull())
     furniture = boilerplate(docs, host, text).groupBy("host").agg(F.collect_set("line").alias("furniture"))
     left = suspects.join(furniture, "host", "left")
-    keep = F.filter(
-        F.split("raw", r"[\r\n]+"), lambda x: ~F.coalesce(F.array_contains(F.col("furniture"), line_key(x)), F.lit(False))
-    )
-    rest = F.when(F.col("furniture").isNull(), F.col("kind")).otherwise(evidence(F.array_join(keep, "\n")))
-    return left.select("doc_id", rest.alias("kind")).where(F.col("kind").isNotNull())
+
+    def rest(of) -> Column:
+        keep = F.filter(F.split("raw", r"[\r\n]+"), lambda x: ~F.coalesce(F.array_contains(F.col("furniture"), of(x)), F.lit(False)))
+        return F.array_join(keep, "\n")
+
+    # Lines that differ in their digits alone are content of the page's own, unless they follow a notice it begins with.
+    nothing = ~rest(exact_key).rlike(_SIGN) | ~rest(line_key).rlike(_SIGN) & F.col("raw").rlike(r"\A" + _SCRIPT)
+    own = F.coalesce(evidence(rest(line_key)), evidence(F.col("raw"), notices=False), F.when(nothing, "script"))
+    kind = F.when((F.col("kind") != "script") | F.col("furniture").isNull(), F.col("kind")).otherwise(own)
+    return left.select("doc_id", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def without_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:

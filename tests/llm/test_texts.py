@@ -221,6 +221,22 @@ def test_boilerplate_is_subtracted(spark):
     assert {r.doc_id for r in residue.find_residue(few).collect()} == {0}
 
 
+def test_residue_on_many_pages_of_a_host(spark):
+    notice = "Home\nPlease enable JavaScript to view this page.\nContact"
+    whole = ["404 Not Found", "Error:\nthe requested page could not be found\n\nHome", notice, "Text text text text", "# {{ TITLE }}\nDate: [INSERT date]"]
+    within = ["404 Not Found", "Error:\nthe requested page could not be found", "lorem ipsum dolor sit amet", "$title$"]
+    for pages in (18, 20, 60):
+        few = pages // 2
+        texts = [w for w in whole for _ in range(few)] + [f"Article {'x' * i} of the act.\n{w}" for w in within for i in range(few)]
+        clean = [f"Section {'y' * i} of the act.\nHome\nContact" for i in range(few)]
+        for at in range(0, len(texts), few):
+            host = docs(spark, texts[at : at + few] + clean)
+            assert {r.doc_id for r in residue.find_residue(host).collect()} == set(range(few)), texts[at]
+            assert {r.doc_id for r in residue.without_residue(host).collect()} == set(range(few, few * 2)), texts[at]
+    numbered = docs(spark, [f"Please enable JavaScript to view this page.\nRequest {i}" for i in range(30)])
+    assert residue.find_residue(numbered).count() == 30
+
+
 def test_residue_in_a_long_text(spark):
     long = "the act applies. " * 30_000
     assert residue.find_residue(docs(spark, [long, long + "\n\n[INSERT title]", long])).collect()[0].doc_id == 1
