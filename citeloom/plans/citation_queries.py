@@ -174,6 +174,14 @@ def fn21_expand_range(spark, folder):
     return table(spark, folder, "lineitem").where("l_quantity <= 5").select("l_orderkey", a.alias("l_linenumber"), F.explode(C.expand_range(a, b)).alias("n"))
 
 
+@query()
+def fn21_expand_range_all(spark, folder):
+    """The ranges of all lines; fn21_expand_range and its SQL hold those of at most 5 pieces."""
+    a = F.col("l_linenumber").cast("long")
+    b = (F.col("l_linenumber") + F.col("l_quantity")).cast("long")
+    return table(spark, folder, "lineitem").select("l_orderkey", a.alias("l_linenumber"), F.explode(C.expand_range(a, b)).alias("n"))
+
+
 def _registry_of(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("framework", "doc_id", "text")
     hits = harvest.harvest(docs, harvest.EXTRACTORS[kind], ["framework"], "text", "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from citeloom.functions import citation as C
 from citeloom.functions import jsonx, numeric, text
 from citeloom.operators import harvest, scoring
+from citeloom.plans import registry
 
 CASES = [
     ("Art. 32", "32"), ("Article 32", "32"), ("§32", "32"), ("Section 32", "32"), ("32 (1)", "32(1)"), ("32(1)", "32(1)"),
@@ -75,6 +76,13 @@ def test_recall_without_gold_is_one(spark):
     assert got == {"a": (0.5, ["9"]), "b": (1.0, [])}
 
 
+def test_ranges_of_the_whole_table(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity").collect()
+    want = sorted((r.l_orderkey, r.l_linenumber, n) for r in lines for n in range(r.l_linenumber, r.l_linenumber + int(r.l_quantity) + 1))
+    got = registry.QUERIES["fn21_expand_range_all"](spark, data).collect()
+    assert sorted(map(tuple, got)) == want and max(r.l_quantity for r in lines) > 5
+
+
 def test_json(spark):
     raw = ['{"citation_id": "1", "target_mechanism": "m", "mapping_justification": "j"}', '{"citation_id": 32, "target_mechanism": "m", "mapping_justification": "j"}', "[1]", "x{", None]
     got = apply(spark, jsonx.parse_candidate, raw)
