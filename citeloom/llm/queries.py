@@ -65,7 +65,19 @@ def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return calibration.gap_report(table(spark, folder, "eval_rows"), table(spark, folder, "sample_targets"))
+    """What each target needs, what exists and what it lacks for that, as the draw reports it."""
+    report = calibration.draw(table(spark, folder, "eval_rows"), table(spark, folder, "sample_targets"))[1]
+    return report.select("plan_name", "dimension", "category", "needed", "available", F.greatest(F.lit(0), F.col("needed") - F.col("available")).alias("short"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_gaps, with the rows drawn and what the sample lacks."""
+    return calibration.draw(table(spark, folder, "eval_rows"), table(spark, folder, "sample_targets"))[1]
+
+
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each plan's sample, and different ones."""
+    return p7_sample(spark, folder).groupBy("plan_name").agg(F.count("*").alias("n"), F.count_distinct("eval_id").alias("ids"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,6 +88,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaks with the place of one stretch in the document's text."""
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), places=True)
+
+
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     """Leaked items with the number of documents that hold them."""
     return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -92,7 +109,7 @@ def p10_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_unmatched, p4_token_budget, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sample, p7_gaps, p8_ids, p9_found, p9_items, p10_found, p10_clean)
+    for f in (p1_found, p1_pieces, p2_found, p2_unmatched, p4_token_budget, p5_found, p5_groups, p6_found, p6_report, p7_found, p7_sample, p7_gaps, p7_report, p7_totals, p8_ids, p9_found, p9_places, p9_items, p10_found, p10_clean)
 }
 
 _UNIQUE = """u AS (SELECT eval_id, min(struct_pack(a := nullif(lower(trim(judge_bucket)), ''), b := nullif(lower(trim(target_jurisdiction)), ''), c := nullif(lower(trim(model)), ''))) AS r
@@ -111,4 +128,6 @@ SQL = {
     WHERE NOT coalesce(failed, false) AND md_relpath IS NOT NULL)""",
     "p7_found": f"WITH {_UNIQUE} SELECT plan_name, dimension, category FROM gaps WHERE short > 0",
     "p7_gaps": f"WITH {_UNIQUE} SELECT * FROM gaps",
+    "p7_totals": """WITH u AS (SELECT count(DISTINCT eval_id) AS n FROM eval_rows)
+  SELECT DISTINCT plan_name, u.n * sample_permille // 1000 AS n, u.n * sample_permille // 1000 AS ids FROM sample_targets, u""",
 }
