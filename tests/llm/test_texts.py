@@ -164,14 +164,42 @@ def test_leaks_against_brute_force():
         text = " ".join([rng.choice(words) for _ in range(15)] + run + [rng.choice(words) for _ in range(15)])
         got = scan.find(text)
         for i, t in items:
-            assert not (i in got) or brute_leak(t, text)
+            assert (i in got) == brute_leak(t, text)
             hits += i in got
-            # Edits that stand at least three words apart are always found.
-        if len(run) >= 20 and " ".join(run) in " ".join(item):
-            assert got
     assert hits > 5
 
 
+def test_leaks_with_edits_wherever_they_stand():
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 12))) for _ in range(80))
+    scan, units = leakage.Scanner([(7, item)]), item.split()
+    for size, edits in ((20, 2), (30, 3), (39, 3)):
+        for trial in range(300):
+            at = rng.randrange(len(units) - size + 1)
+            run = list(units[at : at + size])
+            first = rng.randrange(size - edits + 1)
+            where = [first + i for i in range(edits)] if trial % 3 == 0 else rng.sample(range(size), edits)
+            for k in where:
+                run[k] = rng.choice(["", "zzz", "q" * 50, run[k] + " yyy"])
+            assert scan.find("zz " + " ".join(run) + " zz") == {7}, (at, where, run)
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(300))
+    scan = leakage.Scanner([(7, thai)])
+    for _ in range(200):
+        at = rng.randrange(len(thai) - 90)
+        run = list(thai[at : at + 90])
+        for k in rng.sample(range(90), 6):
+            run[k] = rng.choice(["", "ๆ", run[k] + "ฯ"])
+        assert scan.find("ข้อ " + "".join(run)) == {7}
+
+
+def test_leaks_behind_long_markup_and_places(spark):
+    item = " ".join(f"word{i}" for i in range(25))
+    split = item.split()
+    text = "Intro &amp; more. " + " ".join(split[:10]) + '<a href="' + "x" * 300 + '" class="y">' + " ".join(split[10:]) + "</a> tail"
+    r = leakage.find_leaks(docs(spark, [text]), spark.createDataFrame([(5, item)], "item_id long, text string"), places=True).collect()
+    assert len(r) == 1 and text[r[0].first : r[0].last].startswith("word0 ") and text[r[0].first : r[0].last].endswith("word24")
+
+
 def test_leaks_whatever_the_layout(spark):
     item = "the quick brown fox jumps over the lazy dog while nine grey wolves watch from a distant hill and never dare to come any closer at all"
     odd = "Note: THE **quick** brown<br> fox jum-\nps over the &quot;lazy&quot; dog, while nine\n> grey wolves watch­ from a distant hill and never dare to come"
