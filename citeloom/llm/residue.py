@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line is boilerplate of a host from this share of its pages on, if the host has at least MIN_PAGES pages.
+#: A line is boilerplate of a host if with 95 % certainty it stands on this share of its pages or more.
 BOILERPLATE_SHARE = 0.2
-MIN_PAGES = 20
 
 # What an unfilled field is named (an identifier, or words joined by blanks) and how templates mark it.
 _NAME = r"[A-Za-z](?:[\w.\-]|[ _](?=\w)){0,40}"
@@ -29,64 +28,86 @@ PLACEHOLDERS = [
     r"%[A-Za-z][\w.\-]{1,40}(?: [A-Z][\w.\-]*)?%",
     rf"@@\s*{_NAME}\s*@@",
     r"(?<![\w$])\$[A-Za-z][\w.\-]{1,40}(?: [A-Z][\w.\-]*)?\$(?![\w$])",
+    r"\{[a-z]{3,}[a-z0-9]*(?:[_.][a-z0-9]{2,})+\}",
+    r"<\?(?:php|=)\s[^\n<>]{1,80}",
+    r"%[0-9]\$[sd]",
+    r"\[object Object\]",
     r"<INSERT[ _][^<>\n]{1,60}>",
     r"\[(?:INSERT|FILL[\s_]?IN|ENTER)[\s_]?[^\[\]\n]{1,60}\]",
+    r"\[(?:Insert|Enter|Fill[\s_][Ii]n|Your|YOUR)[\s_][^\[\]\n]{1,60}\]",
     r"\[isi[\s_]?[^\[\]\n]{1,60}di[\s_]?sini\]",
-    r"\[Bitte[\s_]?[^\[\]\n]{1,60}erg[aä]nzen\]",
+    r"(?iu:\[bitte[\s_]?[^\[\]\n]{0,60}(?:erg[aä]nzen|einf[uü]gen|ausf[uü]llen)\])",
     r"\[ระบุ[\s_]?[^\[\]\n]{1,60}\]",
     r"\[[àÀ][\s_]?compl[ée]ter[^\[\]\n]{0,60}\]",
     r"\[[A-Za-z][^\[\]\n]{0,50}[\s_]?HERE\]",
 ]
 
-# Filler phrases. One alone counts where it is a whole line or sentence.
+# The grammar of what stands in place of content. A blank between words is any white space or underscores; "~" is white
+# space that may be missing.
+_THING = "(?:text|content|copy|title|heading|headline|name|paragraph|caption|description)"
 FILLER = [
-    "lorem ipsum",
-    "asdf asdf",
-    "blah blah blah",
-    "text text text text",
-    "dummy text goes here",
-    "your content here",
-    "your text here",
-    "placeholder copy for layout only",
-    "sample paragraph, replace before publication",
-    "hier steht blindtext",
-    "texte de remplissage à remplacer",
-    "teks contoh untuk diganti",
-    "ข้อความตัวอย่าง",
+    r"lorem ipsum\b",
+    r"(?<again>[^\W\d_]{2,12})(?:[,.]? \k<again>){2,}\b",
+    r"(?:asdf|sdfg|zxcv|hjkl|qwer)\w*(?: (?:asdf|sdfg|zxcv|hjkl|qwer)\w*)+",
+    rf"(?:your|some|dummy|sample|placeholder|filler) {_THING}s?(?: goes| comes| will go| will be)? here\b",
+    rf"(?:insert|add|enter|type|put|write|place|paste) (?:your |some |the )?{_THING}s? here\b",
+    r"(?:place~holder|filler|dummy) (?:text|copy|content|paragraph)\b",
+    r"(?:sample|example|demo) (?:text|copy|content|paragraph)[,:;]? (?:to be replaced|to replace|please replace|replace|delete|remove|for layout)\b",
+    r"(?:hier steht (?:ein )?)?(?:blind|platzhalter|füll|muster|beispiel)text\b",
+    r"(?:texte (?:de remplissage|factice|provisoire|à remplacer|d['’]exemple)|faux texte)\b",
+    r"(?:teks (?:contoh|pengisi|sementara)|contoh teks)\b",
+    r"ข้อความ(?:ตัวอย่าง|จำลอง|แทนที่)",
 ]
-# Words of pseudo-Latin filler.
+# Words of pseudo-Latin filler; and endings of Latin words that other languages of the corpus seldom have in a row.
 PSEUDO_LATIN = "lorem ipsum dolor amet consec adipis elit tempor labore magna aliqua minim nostru quis ullam velit cillum".split()
+LATIN_ENDINGS = "(?:(?<!o)us|um|unt|untur|ibus|atur|itur|iste|orem|tatem|(?:ia|na|ga|i)tis|mnis)"
 
-# Messages of servers and browsers in place of a page, as they stand at a line's start.
+_NO_PAGE = "(?:has (?:been )?(?:moved|removed|deleted)|(?:could|can)~(?:not|n['’]t|['’]t) be (?:found|displayed|loaded|reached)|(?:was|is) not (?:found|available)|isn['’]t available|no longer exists|does(?: not|n['’]t) exist|(?:may|might) have been)"
+_REASON = r"(?:(?:the )?(?:page |file |file or directory |url |resource )?(?:was |could )?not (?:be )?found|forbidden|bad gateway|bad request|unauthori[sz]ed|(?:the )?service (?:is )?(?:temporarily )?unavailable|internal (?:server )?error|(?:gateway|request) time-?~out|too many requests|method not allowed|gone|access (?:is )?denied|seite nicht gefunden|zugriff verweigert|interner (?:server)?fehler|page introuvable|non trouvé|accès (?:refusé|interdit)|tidak dijumpai|akses ditolak|ไม่พบ[^\s]{0,40})"
+_ERROR_WORD = "(?:error|fehler|erreur|ralat|ข้อผิดพลาด)"
+#: Messages in place of a page: a status with its reason, a page that isn't there, access, sessions, failing programs.
 ERROR_MESSAGES = [
-    r"(?:http )?\d{3} ?[–-]? ?(?:not found|forbidden|bad gateway|service (?:temporarily )?unavailable|internal server error|unauthorized|gateway time-?out|too many requests|bad request)",
-    r"gateway time-?out",
-    r"access denied",
-    r"error: the requested page could not be found",
-    r"page not found",
-    r"this page has moved or no longer exists",
-    r"too many requests\. try again later",
-    r"your session has expired\. please log ?in again",
-    r"uncaught \w*error at line \d+",
-    r"database connection failed",
-    r"seite nicht gefunden",
-    r"zugriff verweigert\.? bitte melden sie sich an",
-    r"page introuvable",
-    r"erreur \d{3} ?: une erreur interne est survenue",
-    r"halaman tidak dijumpai",
-    r"ไม่พบหน้าที่คุณต้องการ",
+    rf"(?:https?(?:/[12](?:\.[01])?)?~)?(?:status )?{_ERROR_WORD}?~[:#]?~[45]\d\d(?:\.\d+)?~[:.–—-]*~\(?(?:http )?(?:error)?[:,]?~{_REASON}\)?",
+    rf"(?:http )?{_ERROR_WORD}~[:#]?~[45]\d\d",
+    rf"{_ERROR_WORD}~[45]\d\d~[:–—-]~[^\r\n.!]{{0,60}}(?:error|fehler|erreur|ralat|ผิดพลาด)[^\r\n.!]{{0,40}}",
+    r"(?:internal server error|bad gateway|(?:gateway|request) time-?~out|(?:the )?service (?:is )?(?:temporarily )?unavailable|page not found|file or directory not found)",
+    rf"(?:error~:~|sorry~,? |oops~[,!.]? |we['’]re sorry~,? |we are sorry~,? |but )*(?:(?:the|this|that|your) )?(?:requested (?:page|file|url|resource|document|address)|web~page|page|url)(?: you(?:['’]re| are| were|['’]ve| have)?(?: requested| looking for| wanted| followed| tried to reach)?)? {_NO_PAGE}[^\r\n.!]{{0,80}}",
+    r"access (?:to [^\r\n.]{1,60} )?(?:is |was |has been )?(?:denied|forbidden)",
+    r"you (?:do not|don['’]t) have (?:permission|access) to (?:access|view|open)[^\r\n.!]{0,80}",
+    r"too many requests\.?(?: (?:please )?try again later)?",
+    r"(?:your |the )?session (?:has |is )?(?:expired|timed out)(?:\.? please log~in again)?",
+    r"(?:uncaught|unhandled) \w*(?:error|exception)\b[^\r\n]{0,200}",
+    r"(?:fatal|parse|syntax|runtime) error~:[^\r\n]{1,200}",
+    r"(?:warning|notice|error|exception)~:[^\r\n]{1,160} line \d+",
+    r"server error in [^\r\n]{1,60} application",
+    r"traceback \(most recent call last\):?",
+    r"at [\w$.]{1,120}\([\w$]+\.\w{1,5}:\d+\)",
+    r"(?:[a-z_]\w{0,40}\.){2,8}\w{0,40}(?:exception|error)\b[^\r\n]{0,200}",
+    r"(?:sqlstate\[|ora-\d{5})[^\r\n]{0,200}",
+    r"error establishing a database connection",
+    r"(?:database|mysql|sql|server) connection (?:has )?(?:failed|refused|timed out)",
+    r"(?:could|can)~not connect to (?:the )?(?:database|server|mysql|host)[^\r\n.!]{0,100}",
+    r"an? (?:unexpected|internal|unknown|application) (?:server )?error (?:has )?occurred[^\r\n.!]{0,80}",
+    r"this site can['’]t be reached",
+    r"seite (?:wurde )?nicht gefunden",
+    r"zugriff verweigert(?:\.? bitte melden sie sich an)?",
+    r"ihre sitzung ist abgelaufen",
+    r"page (?:introuvable|non trouvée)",
+    r"accès (?:refusé|interdit)",
+    r"votre session a expiré",
+    r"halaman (?:ini )?tidak (?:dijumpai|ditemui|ditemukan)",
+    r"akses ditolak",
+    r"ไม่พบหน้า[^\s.]{0,40}",
 ]
+# What a notice that scripts are needed begins with, and the words of which it holds one of each kind.
+_WHO = "(?:please|you |your browser|(?:this|our|the) (?:web~)?(?:site|page|app|application|content)|we |sorry|enable|activate|turn on|switch on|allow|java~script|js |scripts? (?:is|are|must)|to (?:view|use|continue|access|run|see|proceed)|for full functionality|it (?:looks|seems|appears)|looks like|in order to|bitte|ihr browser|sie (?:müssen|benötigen)|(?:diese|unsere) (?:seite|website|anwendung)|veuillez|votre navigateur|vous devez|(?:cette|notre) (?:page|application)|ce site|pour (?:afficher|utiliser|continuer)|sila|anda perlu|pelayar anda|laman |tapak |untuk (?:melihat|menggunakan)|กรุณา|โปรด|เบราว์เซอร์|คุณต้อง|หน้านี้)"
+_SCRIPTS = "(?:java~script|(?<![a-z])js(?![a-z])|(?<![a-z])scripts?(?![a-z])|จาวาสคริปต์|สคริปต์)"
+_WANTED = "(?:enabl|activ|disabl|turn(?:ed)? (?:on|off)|switch(?:ed)? (?:on|off)|requir|needs? |must |support|allow|without|works? (?:only|best)|block|aktiv|einschalt|benötig|erforder|nécessa|requis|désactiv|aktif|hidup|perlu|dimatikan|เปิด|ต้อง)"
+_GAP = r"(?:[^.!?\r\n]|\r?\n(?![\r\n])){0,160}?"
 SCRIPT_NOTICES = [
-    r"please enable javascript",
-    r"javascript is required",
-    r"enable js and disable any ad blocker",
-    r"you need to turn on scripts in your browser",
-    r"this site works only with scripts and cookies switched on",
-    r"checking your browser before accessing",
-    r"bitte aktivieren sie javascript",
-    r"veuillez activer javascript",
-    r"sila aktifkan javascript",
-    r"กรุณาเปิดใช้งาน javascript",
+    rf"(?={_WHO})(?={_GAP}{_SCRIPTS}){_GAP}{_WANTED}",
+    r"(?:we are )?checking (?:if )?your browser\b",
+    r"verify(?:ing)? (?:that )?you are (?:a )?human",
 ]
 
 
@@ -94,15 +115,17 @@ def _either(patterns: list[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def _flexible(phrases: list[str]) -> list[str]:
-    """Phrases whose words blanks, underscores or a line break may part."""
-    return [p.replace(" ?", r"[\s\u00A0_]*+").replace(" ", r"[\s\u00A0_]++") for p in phrases]
+def _flexible(patterns: list[str]) -> list[str]:
+    """Patterns whose words blanks, underscores or a line break may part."""
+    return [p.replace(" ", r"[\s\u00A0_]++").replace("~", r"[\s\u00A0_]*+") for p in patterns]
 
 
 #: Where a message begins: at the start of a line or a sentence, after markup. Inside a sentence it is wording about it.
 _SENTENCE_START = r"(?imu)(?:^|[.!?][ _])[\s_]*+(?:[#>*|-]++[ _])?(?:<[a-z][a-z0-9]{0,9}>)?"
 _LATIN = r"(?i)\b(?=[acdeilmnqtuv])" + _either(PSEUDO_LATIN) + r"(?:[\s_]" + _either(PSEUDO_LATIN) + r"){4}\b"
 _SCRIPT = _SENTENCE_START + _either(_flexible(SCRIPT_NOTICES))
+_LATIN_WORD = rf"(?:[a-z]{{2,12}}{LATIN_ENDINGS}|omnis|iste)\b"
+_LATIN_RUN = rf"(?i)\b(?:{_LATIN_WORD}[ ,.]{{1,3}}(?:[a-z]++[ ,.]{{1,3}}){{0,2}}){{3}}{_LATIN_WORD}"
 _SIGN = r"[\p{L}\p{N}]"
 #: The characters that placeholders begin with, so that other places are passed over at once.
 _PLACEHOLDER = r"(?=[\[{<«%@$#])" + _either(PLACEHOLDERS)
@@ -111,7 +134,7 @@ _MESSAGE_END = r"(?:</[a-z]|[ \t\u00A0_]*+(?:[.!(\r\n]|$))"
 
 def evidence(raw: Column, notices: bool = True) -> Column:
     """The kind of evidence a text holds, or null: placeholder, script (with ``notices``), error, filler (in this order). Null text: null."""
-    filler = raw.rlike(_SENTENCE_START + _either(_flexible([p.replace(".", r"\.") for p in FILLER]))) | raw.rlike(_LATIN)
+    filler = raw.rlike(_SENTENCE_START + _either(_flexible(FILLER))) | raw.rlike(_LATIN) | raw.rlike(_LATIN_RUN)
     script = raw.rlike(_SCRIPT)
     error = raw.rlike(_SENTENCE_START + _either(_flexible(ERROR_MESSAGES)) + _MESSAGE_END)
     found = F.when(raw.rlike(_PLACEHOLDER), "placeholder")
@@ -131,19 +154,23 @@ def exact_key(line: Column) -> Column:
 
 
 def host_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """Normalised and exact lines per host with the number of pages that hold them: host, line (a 64-bit hash), pages."""
-    lines = docs.where(F.col(text).isNotNull()).select(
-        F.coalesce(F.col(host), F.lit("")).alias("host"),
-        F.explode(F.array_distinct(F.flatten(F.transform(F.split(F.col(text), r"[\r\n]+"), lambda x: F.array(line_key(x), exact_key(x)))))).alias("line"),
-    )
-    return lines.groupBy("host", "line").agg(F.count("*").alias("pages"))
+    """Normalised and exact lines per host with the number of pages that hold them: host, line (a 64-bit hash; null: all
+    pages of the host), pages."""
+    lines = F.flatten(F.transform(F.split(F.col(text), r"[\r\n]+"), lambda x: F.array(line_key(x), exact_key(x))))
+    every = F.array_union(F.array_distinct(lines), F.array(F.lit(None).cast("long")))
+    seen = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(every).alias("line"))
+    return seen.groupBy("host", "line").agg(F.count("*").alias("pages"))
 
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """host, line: the lines that stand on BOILERPLATE_SHARE of the pages of a host with MIN_PAGES pages or more."""
-    sizes = docs.where(F.col(text).isNotNull()).groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count("*").alias("n"))
-    counted = host_lines(docs, host, text).join(sizes.where(F.col("n") >= MIN_PAGES), "host")
-    return counted.where(F.col("pages") >= F.col("n") * BOILERPLATE_SHARE).select("host", "line")
+    """host, line: the lines whose share of the host's pages is BOILERPLATE_SHARE or more, by the lower end of Wilson's
+    interval of 95 %, so that hosts of a few pages need a larger share; one page alone is none. One pass over the texts."""
+    counted = host_lines(docs, host, text)
+    sizes = counted.where(F.col("line").isNull()).select("host", F.col("pages").alias("n"))
+    z = 1.645
+    n, share = F.col("n"), F.col("pages") / F.col("n")
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return counted.where(F.col("line").isNotNull() & (F.col("pages") > 1)).join(sizes, "host").where(low >= BOILERPLATE_SHARE).select("host", "line")
 
 
 def find_residue(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:

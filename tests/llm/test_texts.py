@@ -235,6 +235,17 @@ CONTENT = ["Let {a, b} denote the set of keys and {c} its complement.", '`{"kind
            "A template with placeholders is annexed.", "A portal must work for persons whose browser runs no scripts.", "See <sup>3</sup> « les actes »", "", None, "Amendedbyorderno.5[insertedtextinitalics]."]
 
 
+# None of these stands in the code.
+HELD_OUT = ["You need to enable JavaScript to run this app.", "JavaScript is disabled in your browser.", "This website requires JavaScript.", "Votre navigateur ne prend pas en charge JavaScript, veuillez l'activer.", "Ihr Browser unterstützt kein JavaScript oder es ist deaktiviert. Bitte aktivieren.", "Error 404", "404 - File or directory not found.", "HTTP Error 503. The service is unavailable.", "Internal Server Error", "502 Bad Gateway", "Fatal error: Uncaught Exception in /var/www/x.php on line 12", "Traceback (most recent call last):",
+            "Warning: mysql_connect(): no such host in /srv/a.php on line 7", "The page you requested could not be found.", "Sorry, the page you are looking for might have been removed.", "java.lang.NullPointerException: name", "SQLSTATE[HY000] [2002] Connection refused", "You don't have permission to access this resource.", "Your session timed out.", "[Your Name]", "Dear {first_name},", "Insert text here", "[BITTE ERGÄNZEN]", "Sed ut perspiciatis unde omnis iste natus error", "test test test test", "Type your name here", "Add content here", "Dies ist ein Absatz.\nPlatzhaltertext", "[Insert Date]", "An unexpected error has occurred."]
+HELD_OUT_CONTENT = ["The controller must keep scripts of all interviews.", "Persons who need javascript training shall apply.", "404 sections were amended.", "Error is no defence.", "The session of the council has expired members removed.", "Access denied to a minor is recorded.", "Section 404 Not every page counts.", "A page is one side of a leaf. The page has two margins.", "Sous réserve des avis, plus de copies sont tenus. Les statuts sont reçus.", "Hukum umum tertentu terpakai.", "Zum Zwecke der Datenübermittlung, um das Forum zu nutzen.", "You may request that records be erased without delay.", "The set {a, b} of { keys }.", "Warning: no act may be split."]
+
+
+def test_residue_that_stands_nowhere_in_the_code(spark):
+    got = {r.doc_id for r in residue.find_residue(docs(spark, [f"Article 1 of the act.\n{x}" for x in HELD_OUT + HELD_OUT_CONTENT])).collect()}
+    assert got == set(range(len(HELD_OUT))), [(HELD_OUT + HELD_OUT_CONTENT)[i] for i in got ^ set(range(len(HELD_OUT)))]
+
+
 def test_residue_and_content(spark):
     got = {r.doc_id for r in residue.find_residue(docs(spark, RESIDUE + CONTENT)).collect()}
     assert got == set(range(len(RESIDUE)))
