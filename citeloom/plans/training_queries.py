@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from citeloom.operators import dangling
 
-QUERIES = {"p3_found": dangling.p3_found, "p3_counts": dangling.p3_counts, "p3_recall": dangling.p3_recall}
+QUERIES = {"p3_found": dangling.p3_found, "p3_counts": dangling.p3_counts, "p3_recall": dangling.p3_recall, "p3_waiting": dangling.p3_waiting}
 
 _BASE = """upper(regexp_extract(translate({c}, '๐๑๒๓๔๕๖๗๘๙０１２３４５６７８９', '01234567890123456789'), '^[^0-9]*0*([0-9]+[A-Z]?)', 1))"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,12 +27,16 @@ def get_spark(app: str = "citeloom", cores: str | None = None, shuffle_partition
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where the setting is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where the setting is unset, a folder of our own in local mode, as
+    in tests; on a cluster that's an error, since executors don't share local folders."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="citeloom-ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir isn't set")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="citeloom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -104,10 +104,51 @@ def test_orphan_state_in_steps_equals_bulk(spark):
 
 def test_orphan_snapshot_and_listing(spark):
     refs = _refs(spark, [("1", "a", T0), ("2", "x", T0), ("3", "x", None)])
-    found = orphans.orphans_at_reference(orphans.OrphanState.empty(spark), refs, _parents(spark, [("a", None, None)]))
-    assert sorted(r.record_key for r in found.collect()) == ["2", "3"]
-    got = {r.month: (r.refs, r.orphans) for r in orphans.snapshot(refs, found).collect()}
+    state = orphans.advance(orphans.OrphanState.empty(spark), refs, _parents(spark, [("a", None, None)]), T0)
+    assert sorted(r.record_key for r in state.refs.where("orphan_at_ref").collect()) == ["2", "3"]
+    got = {r.month: (r.refs, r.orphans) for r in orphans.snapshot(state.refs).collect()}
     assert got == {"2024-01": (2, 1), None: (1, 1)}
+    assert [(r.refs, r.open) for r in orphans.waiting([state]).collect()] == [(3, 2)]
+
+
+def _flags(state):
+    return {(r.record_key, r.parent_key): (r.orphan_at_ref, r.is_open) for r in state.refs.collect()}
+
+
+def test_orphans_that_change_their_parent_or_lose_it(spark):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    nothing, none = _refs(spark, []), _parents(spark, [])
+    state = orphans.OrphanState.empty(spark, buckets=4)
+    # Two references of one record and field, of which one is resolved.
+    state = orphans.advance(state, _refs(spark, [("1", "a", day(1)), ("1", "b", day(1))]), _parents(spark, [("a", day(0), None)]), day(1))
+    assert _flags(state) == {("1", "a"): (False, False), ("1", "b"): (True, True)}
+    # The record names another key later on; the reference before stays.
+    state = orphans.advance(state, _refs(spark, [("1", "c", day(2))]), none, day(2))
+    assert _flags(state)["1", "c"] == (True, True) and len(_flags(state)) == 3
+    # A deletion that carries the key alone reopens.
+    state = orphans.advance(state, nothing, _parents(spark, [("a", None, day(3))]), day(3))
+    assert _flags(state)["1", "a"] == (False, True)
+    # A parent that arrives late though it was in force then; another one, added after the reference.
+    state = orphans.advance(state, nothing, _parents(spark, [("b", day(0), None), ("c", day(4), None)]), day(4))
+    assert _flags(state)["1", "b"] == (False, False) and _flags(state)["1", "c"] == (True, False)
+    # What a deletion closed may begin again.
+    state = orphans.advance(state, nothing, _parents(spark, [("a", day(5), None)]), day(5))
+    assert _flags(state)["1", "a"] == (False, False)
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    state = orphans.advance(orphans.OrphanState.empty(spark), _refs(spark, [(str(i), f"k{i}", T0) for i in range(60)]), _parents(spark, []), T0)
+    after = orphans.advance(state, _refs(spark, []), _parents(spark, [("k7", T0, None)]), T0)
+    assert sum(after.ref_paths[b] != p for b, p in state.ref_paths.items()) == 1 and len(after.parent_paths) == 1
+    assert after.refs.where("NOT is_open").count() == 1 and after.refs.count() == 60 and state.refs.where("is_open").count() == 60
+
+
+def test_periods_equal_one_batch(spark, data):
+    from citeloom.operators import dangling
+
+    key = lambda s: sorted((r.table_name, r.record_key, r.field_name, str(r.parent_key), r.orphan_at_ref) for r in s.refs.collect())
+    one, four = dangling.reference_states(spark, data, 1), dangling.reference_states(spark, data, 4)
+    assert key(one[-1]) == key(four[-1]) and len(four) == 4
 
 
 def test_nearest_against_brute_force(spark, data):
