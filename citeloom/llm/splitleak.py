@@ -6,7 +6,7 @@ sentence, k being the edits a sentence of its length may have; a training text t
 segments unchanged, at most k words from its place in the sentence or in the text. Such pairs are checked in both texts
 by dynamic programming in a band of k. Copies are compared once and expanded at the end.
 
-In scripts without spaces the units are letters and segments have LETTER_SEGMENT of them.
+In scripts without spaces the units are letters, and the text as a whole is cut into k + 1 segments.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.citation import cited_base, is_blank
 from citeloom.llm.neardup import fold
+from citeloom.session import cut_lineage
 
 #: One edit in so many words (letters) is allowed.
 EDIT_EVERY = 4
-LETTER_SEGMENT = 16
 _THAI = re.compile(r"[฀-๿]")
 _SENTENCE_END = re.compile(r"(?<=[.!?;。])\s+|[\r\n]+")
 SEP = "\u0001"
@@ -60,11 +60,11 @@ def segments(n: int) -> list[tuple[int, int]]:
 def probe_rows(text: str) -> list[tuple[str, int, int, int]]:
     """(segment, place in the sentence, place in the text, edits allowed) of an evaluation text."""
     if unspaced(text):
-        flat = "".join("".join(s) for s in sentences(text))
-        if len(flat) <= LETTER_SEGMENT:
-            return [(flat, 0, 0, len(flat))]
-        starts = [*range(0, len(flat) - LETTER_SEGMENT + 1, LETTER_SEGMENT), len(flat) - LETTER_SEGMENT]
-        return [(flat[i : i + LETTER_SEGMENT], i, i, len(flat)) for i in sorted(set(starts))]
+        chunks = sentences(text)
+        flat = "".join("".join(s) for s in chunks)
+        # Chunks may have changed places, so a place in the text tells nothing where there are several.
+        k = len(flat) // EDIT_EVERY if len(chunks) == 1 else len(flat)
+        return [(flat[i : i + n], i, i, k) for i, n in segments(len(flat))]
     out, base = [], 0
     for words in sentences(text):
         k = len(words) // EDIT_EVERY
@@ -77,17 +77,20 @@ def index_rows(text: str) -> list[tuple[str, int, int]]:
     """(substring, place in the sentence, place in the text) of a training text: those that a segment may equal."""
     if unspaced(text):
         flat = "".join("".join(s) for s in sentences(text))
-        if len(flat) <= LETTER_SEGMENT:
-            return [(flat, 0, 0)]
-        return [(flat[i : i + LETTER_SEGMENT], i, i) for i in range(len(flat) - LETTER_SEGMENT + 1)]
+        return sorted({(flat[i : i + n], i, i) for n in _sizes(len(flat)) for i in range(len(flat) - n + 1)})
     out, base = [], 0
     for words in sentences(text):
-        sizes = (1, 2, 3) if len(words) < 5 else (2, 3, 4)
-        out += [(" ".join(words[i : i + n]), i, base + i) for n in sizes for i in range(len(words) - n + 1)]
+        out += [(" ".join(words[i : i + n]), i, base + i) for n in _sizes(len(words)) for i in range(len(words) - n + 1)]
         base += len(words)
     return out
 
 
+def _sizes(n: int) -> list[int]:
+    """The lengths of segments of a text from which one of n units may come by the edits allowed."""
+    lengths = range(max(1, n - n // EDIT_EVERY - 1), n + n // (EDIT_EVERY - 1) + 2)
+    return sorted({size for m in lengths for _, size in segments(m) if size <= n})
+
+
 def banded(a: list[str], b: list[str], k: int) -> bool:
     """Whether at most k edits turn a into b: dynamic programming over the 2k + 1 diagonals around the main one."""
     if abs(len(a) - len(b)) > k:
@@ -114,21 +117,32 @@ def banded(a: list[str], b: list[str], k: int) -> bool:
     return row[-1] <= k
 
 
-def _aligned(a: list[list[str]], b: list[list[str]]) -> list[str]:
-    """b's sentences in the order of those of a that they share most with; what is left over stands last."""
-    left, out = [(Counter(s), s) for s in b], []
-    for s in a:
-        if not left:
-            break
-        own = Counter(s)
-        best = max(range(len(left)), key=lambda i: (sum((own & left[i][0]).values()), -i))
-        out += left.pop(best)[1]
-    return out + [w for _, s in left for w in s]
+def _place(part: list[str], whole: list[str]) -> int:
+    """Where in ``whole`` the run nearest to ``part`` ends, by edit distance; the first of equals."""
+    row = [0] * (len(whole) + 1)
+    for i, x in enumerate(part, 1):
+        new = [i]
+        for j, y in enumerate(whole, 1):
+            d = row[j - 1] + (x != y)
+            if row[j] + 1 < d:
+                d = row[j] + 1
+            if new[j - 1] + 1 < d:
+                d = new[j - 1] + 1
+            new.append(d)
+        row = new
+    return row.index(min(row))
+
+
+def _aligned(parts: list[list[str]], whole: list[str]) -> list[str]:
+    """The sentences ``parts`` in the order in which they stand in ``whole``, whose own sentence ends don't count."""
+    order = sorted(range(len(parts)), key=lambda i: (_place(parts[i], whole), i))
+    return [w for i in order for w in parts[i]]
 
 
 def same_text(a: str, b: str) -> bool:
     """Whether two texts are the same apart from case, punctuation, spacing, order of sentences and at most one edit in
-    EDIT_EVERY units of the longer one."""
+    EDIT_EVERY units of the longer one. Sentences of either text are laid along the other, so ends of sentences that an
+    edit took away from one of them don't matter."""
     x, y = sentences(a), sentences(b)
     flat_x, flat_y = [w for s in x for w in s], [w for s in y for w in s]
     if not flat_x or not flat_y:
@@ -136,13 +150,9 @@ def same_text(a: str, b: str) -> bool:
     k = max(len(flat_x), len(flat_y)) // EDIT_EVERY
     if sum((Counter(flat_x) & Counter(flat_y)).values()) < max(len(flat_x), len(flat_y)) - k:
         return False
-    return banded(flat_x, flat_y, k) or (len(y) > 1 and banded(flat_x, _aligned(x, y), k)) or _moved(flat_x, flat_y)
-
-
-def _moved(a: list[str], b: list[str]) -> bool:
-    """Whether b is a with runs moved, though the ends of sentences were lost by an edit: most neighbours still are."""
-    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-    return sum((x & y).values()) * 3 >= 2 * max(len(a) - 1, len(b) - 1, 1)
+    if banded(flat_x, flat_y, k):
+        return True
+    return len(x) > 1 and banded(_aligned(x, flat_y), flat_y, k) or len(y) > 1 and banded(flat_x, _aligned(y, flat_x), k)
 
 
 def split_kinds(splits: DataFrame) -> DataFrame:
@@ -197,8 +207,8 @@ def cross_split_pairs(gold: DataFrame, splits: DataFrame) -> DataFrame:
     kinds = split_kinds(splits)
     rows = cited_pairs(gold).join(kinds.select("id", "kind").distinct(), "id").withColumn("cls", F.xxhash64("cites", "one", "other"))
     shared = rows.groupBy("cites").agg(F.max((F.col("kind") == "train").cast("int")).alias("t"), F.max((F.col("kind") == "eval").cast("int")).alias("e")).where("t = 1 AND e = 1").select("cites")
-    rows = rows.join(shared, "cites", "left_semi")
-    classes = rows.groupBy("cls", "kind").agg(F.first("cites").alias("cites"), F.first("one").alias("one"), F.first("other").alias("other"))
+    rows = cut_lineage(rows.join(shared, "cites", "left_semi"))
+    classes = cut_lineage(rows.groupBy("cls", "kind").agg(F.first("cites").alias("cites"), F.first("one").alias("one"), F.first("other").alias("other")))
     ev, tr = classes.where("kind = 'eval'"), classes.where("kind = 'train'")
     probes = ev.select("cls", "cites", "one").mapInArrow(_emit(probe_rows, ["cls", "cites", "seg", "in_sentence", "in_text", "k"]), "cls long, cites string, seg string, in_sentence int, in_text int, k int")
     index = tr.select("cls", "cites", "one").mapInArrow(_emit(index_rows, ["cls", "cites", "seg", "in_sentence", "in_text"]), "cls long, cites string, seg string, in_sentence int, in_text int")
