@@ -1,15 +1,22 @@
 """Groups of records that share their two texts but for small edits, through BK-trees over Hamming distance.
 
-Texts are folded (case, punctuation, spacing) and exact copies made one. Each distinct text gets a 128-bit fingerprint
-(the signs of the summed hashes of its words, so the order of sentences doesn't show) and BANDS band keys, each made
-from the minima of two hash functions over all its word shingles, however many other texts hold them: in a large group
-of near copies the frequent shingles are just those that its members share. Two texts that share a third of their
-shingles have a band in common with 99 %, two that share half with 99.999 %. A band bucket is a shard: its fingerprints
-form a BK-tree, whose children are keyed by their Hamming distance to the parent, and a lookup follows only edges within
-RADIUS of its own distance. What the trees return is checked by the texts' words (letters, in scripts without spaces).
+Texts are folded (case, punctuation, spacing) and exact copies made one. A shard is the set of texts with the same shard
+key, and the keys are chosen so that no pair can be missed:
 
-A bucket with more than BUCKET texts is split into blocks, and each pair of blocks is a shard of its own: nothing is cut
-off and no task holds more than two blocks. Fingerprints and links never go to the driver.
+* Of texts of words the keys are pairs of neighbouring words. An edit spoils two of them and a moved sentence one at each
+  of its ends, so a text shares at least a known number of its pairs with every text that agrees with it; the rarest
+  pairs, as many as are needed for one of those to be among them, are its keys (prefix filtering).
+* Of texts in scripts without spaces the keys are the rarest runs of GRAM letters of each window of WINDOW runs next to each
+  other: texts that share GRAM + WINDOW - 1 letters in a row have a key in common.
+
+"Rare" is read from counters of a fixed number that all keys share; they set the order alone, so that collisions cost time
+and no pairs. In a shard the texts' fingerprints of 128 bits form a BK-tree, whose children are keyed by their
+Hamming distance to the parent, and a search follows only edges within the radius. For words a bit of the fingerprint is the
+parity of the words hashed to it: each word that two texts don't share changes one bit at most, so the radius follows from
+the agreement demanded and loses nothing. What the trees return is checked by the texts' words (letters).
+
+A shard with more than BUCKET texts is split into blocks, and each pair of blocks is a shard of its own: nothing is cut off
+and no task holds more than two blocks. Fingerprints and links never go to the driver.
 
 Pairs of records follow from linked texts: the two texts of a record are an unordered pair, so exchanged roles show, too.
 """
@@ -32,20 +39,19 @@ from citeloom.session import cut_lineage
 
 #: Least share of the words (letters) of each text that agree.
 AGREEMENT = 0.75
-#: Words of a shingle, letters of one in scripts without spaces, and bands.
-SHINGLE, LETTER_SHINGLE, BANDS = 4, 16, 40
-#: Most differing bits of the fingerprints of two candidates.
-RADIUS = 32
-#: Texts of a block of a bucket.
-BUCKET = 2000
+#: Letters of a run, and runs of a window, in scripts without spaces.
+GRAM, WINDOW = 12, 4
+#: Word pairs that moved sentences may spoil.
+MOVES = 4
+#: Most differing bits of two fingerprints of letters; these are the signs of summed hashes, which bound nothing.
+LETTER_RADIUS = 48
+#: Texts of a block of a shard, and shared counters.
+BUCKET, SLOTS = 2000, 1 << 18
+#: Shards and leaves of trees up to this size are compared as they are.
+LEAF = 32
 
 _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"[^\W_]+(?:[ัิ-ฺ็-๎]+[^\W_]*)*")
-_MASK = (1 << 64) - 1
-_rng = np.random.default_rng(20240607)
-_MULTIPLIERS = (_rng.integers(1, 1 << 62, 2 * BANDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 62, 2 * BANDS, dtype=np.uint64)
-
 
 def fold(text: str | None) -> str:
     """The words of a text, case folded, joined by blanks; in scripts without spaces its letters. Empty for null, blank
@@ -91,61 +97,101 @@ def _windows(values: np.ndarray, size: int) -> np.ndarray:
     return _mix(out)
 
 
-def shingles_of(folded: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (in scripts without spaces of runs of two and three letters) and of the shingles of a folded
-    text that isn't empty."""
-    if " " not in folded and _THAI.search(folded):
-        values = _mix(np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64))
-        return np.concatenate([_windows(values, 2), _windows(values, 3)]), _windows(values, LETTER_SHINGLE)
-    values = _mix(np.array([zlib.crc32(w.encode()) for w in folded.split(" ")], np.uint64))
-    return values, _windows(values, SHINGLE)
+def shard_candidates(folded: str) -> np.ndarray:
+    """Hashes of all that may become a shard key: word pairs (repeated ones told apart), or runs of letters."""
+    with np.errstate(over="ignore"):
+        if unspaced(folded):
+            return _mix(_windows(_letters(folded), GRAM) + np.uint64(1))
+        pairs = np.sort(_windows(_words(folded), 2))
+        # The i-th of equal pairs is a key of its own, so that pairs count as often as they stand.
+        start = np.concatenate([[0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1])
+        nth = np.arange(len(pairs)) - np.repeat(start, np.diff(np.append(start, len(pairs))))
+        return _mix(pairs + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def unspaced(folded: str) -> bool:
+    return " " not in folded and bool(_THAI.search(folded))
 
 
-def signature(folded: str) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint (two signed integers of 64 bits) and the band keys of a folded text that isn't empty."""
+def _letters(folded: str) -> np.ndarray:
+    return _mix(np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.uint64))
+
+
+def _words(folded: str) -> np.ndarray:
+    return _mix(np.array([zlib.crc32(w.encode()) | len(w) << 32 for w in folded.split(" ")], np.uint64))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % SLOTS
+
+
+def shard_keys(folded: str, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard keys of a folded text that isn't empty, and how many texts at most hold each."""
+    with np.errstate(over="ignore"):
+        if unspaced(folded):
+            runs = shard_candidates(folded)
+            order = counters[_slots(runs)].astype(np.uint64) << np.uint64(32) | runs & np.uint64(0xFFFFFFFF)
+            w = min(WINDOW, len(runs))
+            keys = np.unique(runs[np.argmin(np.lib.stride_tricks.sliding_window_view(order, w), 1) + np.arange(len(runs) - w + 1)])
+        else:
+            keys, n = shard_candidates(folded), folded.count(" ") + 1
+            # Up to a quarter of the longer text's words may differ; of this text's pairs that spoils half at most.
+            shared = max(1, len(keys) - 2 * (n // 4) - MOVES)
+            keys = keys[np.lexsort((keys, counters[_slots(keys)]))][: len(keys) - shared + 1]
+        return keys, counters[_slots(keys)]
+
+
+def fingerprint(folded: str) -> np.ndarray:
+    """128 bits (two unsigned integers): the parities of the words hashed to each; of letters the signs of the summed hashes of
+    runs of two and three."""
     with np.errstate(over="ignore"):
-        words, shingles = shingles_of(folded)
-        wide = np.stack([words, _mix(words ^ np.uint64(0x5DEECE66D))], axis=1)
-        bits = np.unpackbits(wide.view(np.uint8).reshape(len(words), 16), axis=1).sum(0, dtype=np.int64) * 2 > len(words)
-        fingerprint = np.packbits(bits).view(np.int64)
-        least = _mix(shingles[:, None] * _MULTIPLIERS + _ADDENDS).min(0)
-        keys = _mix(least[:BANDS] * np.uint64(31) + least[BANDS:] + np.arange(1, BANDS + 1, dtype=np.uint64))
-    return fingerprint, keys.view(np.int64)
+        if not unspaced(folded):
+            return np.packbits((np.bincount((_words(folded) >> np.uint64(7)).astype(np.int64) % 128, minlength=128) & 1).astype(np.uint8)).view(np.uint64)
+        values = _letters(folded)
+        runs = np.concatenate([_windows(values, 2), _windows(values, 3)])
+        wide = np.stack([runs, _mix(runs ^ np.uint64(0x5DEECE66D))], axis=1)
+        bits = np.unpackbits(wide.view(np.uint8).reshape(len(runs), 16), axis=1).sum(0, dtype=np.int64) * 2 > len(runs)
+        return np.packbits(bits).view(np.uint64)
+
+
+def radius_of(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Most differing bits of two texts that may agree, by their sizes (words; letters as negative numbers)."""
+    longer, shorter = np.maximum(np.abs(n), np.abs(m)), np.minimum(np.abs(n), np.abs(m))
+    most = longer + shorter - 2 * np.ceil(AGREEMENT * longer).astype(np.int64)
+    return np.where((n > 0) != (m > 0), -1, np.where(shorter < AGREEMENT * longer, -1, np.where(n > 0, most, LETTER_RADIUS)))
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (last axis: two integers)."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
 class BKTree:
-    """Fingerprints by Hamming distance. A node is [fingerprint, keys, {distance: child}]."""
-
-    def __init__(self):
-        self.root: list | None = None
-
-    def add(self, fingerprint: int, key: int) -> None:
-        if self.root is None:
-            self.root = [fingerprint, [key], {}]
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ fingerprint).bit_count()
-            if d == 0:
-                node[1].append(key)
-                return
-            child = node[2].get(d)
-            if child is None:
-                node[2][d] = [fingerprint, [key], {}]
-                return
-            node = child
-
-    def within(self, fingerprint: int, radius: int) -> list[int]:
-        """The keys of all fingerprints at most ``radius`` bits away."""
-        out, todo = [], [self.root] if self.root else []
-        while todo:
-            node = todo.pop()
-            d = (node[0] ^ fingerprint).bit_count()
-            if d <= radius:
-                out += node[1]
-            for e, child in node[2].items():
-                if d - radius <= e <= d + radius:
-                    todo.append(child)
+    """Fingerprints by Hamming distance: the first one is the root, its children are keyed by their distance to it. Up to
+    LEAF of them stay a leaf. Searches go down for many fingerprints at once."""
+
+    def __init__(self, prints: np.ndarray, rows: np.ndarray | None = None):
+        self.prints, self.rows = prints, np.arange(len(prints)) if rows is None else rows
+        self.children: dict[int, BKTree] = {}
+        if len(prints) > LEAF:
+            d = distance(prints[1:], prints[0])
+            order = np.argsort(d, kind="stable")
+            edges = np.flatnonzero(np.diff(d[order])) + 1
+            parts = np.split(order, edges)
+            if len(parts) > 1 or d[0] > 0:
+                self.children = {int(d[part[0]]): BKTree(prints[1:][part], self.rows[1:][part]) for part in parts}
+                self.prints, self.rows = prints[:1], self.rows[:1]
+
+    def join(self, queries: np.ndarray, radius: np.ndarray, at: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places of queries, rows) of all fingerprints within each query's own radius."""
+        at = np.arange(len(queries)) if at is None else at
+        d = distance(queries[at][:, None, :], self.prints[None, :, :])
+        i, j = np.nonzero(d <= radius[at][:, None])
+        out = [(at[i], self.rows[j])]
+        for key, child in self.children.items():
+            near = at[np.abs(d[:, 0] - key) <= radius[at]]
+            if len(near):
+                out += child.join(queries, radius, near)
         return out
 
 
@@ -155,66 +201,113 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["raw", "folded"])
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counters = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        prints, keys = np.empty((n, 2), np.int64), np.empty((n, BANDS), np.int64)
-        for i, folded in enumerate(batch.column(1).to_pylist()):
-            prints[i], keys[i] = signature(folded)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), bands], names=["text", "print", "more", "bands"])
-
-
-def _search(radius: int):
-    """Rows sorted by (band, cell) -> candidate pairs of each shard. ``role``: 0 the shard's one block, 1 and 2 the two
-    blocks of a pair, of which only pairs across count."""
-
-    def shard(rows: list[tuple[int, int, int]], out: list[tuple[int, int]]) -> None:
-        tree = BKTree()
-        ones = [r for r in rows if r[2] == 1]
-        for text, fp, _ in ones:
-            tree.add(fp, text)
-        for text, fp, role in rows:
-            if role == 1:
-                continue
-            out += [(min(text, o), max(text, o)) for o in tree.within(fp, radius) if o != text]
-            if role == 0:
-                tree.add(fp, text)
+        for folded in batch.column(0).to_pylist():
+            counters += np.bincount(_slots(shard_candidates(folded)), minlength=SLOTS) if len(folded) > 100_000 else 0
+            if len(folded) <= 100_000:
+                np.add.at(counters, _slots(shard_candidates(folded)), 1)
+    used = np.flatnonzero(counters)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counters[used])], names=["slot", "n"])
+
 
-    def emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = list(set(pairs))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+def shared_counters(texts: DataFrame) -> np.ndarray:
+    """The counters of all shard key candidates: SLOTS numbers, whatever the size of the corpus."""
+    counters = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.select("folded").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():
+        counters[slot] = n
+    return counters
 
+
+def _sign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        counters = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            text, high, low, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4, 5))
-            edges = np.flatnonzero((band[1:] != band[:-1]) | (cell[1:] != cell[:-1])) + 1
-            bounds = [0, *edges.tolist(), len(band)]
-            for lo, hi in zip(bounds, bounds[1:]):
-                here = (int(band[lo]), int(cell[lo]))
-                if here != key:
-                    if len(rows) > 1:
-                        shard(rows, out)
-                    key, rows = here, []
-                if hi - lo > 1 or rows or hi == len(band):
-                    prints = [((h & _MASK) << 64) | (w & _MASK) for h, w in zip(high[lo:hi].tolist(), low[lo:hi].tolist())]
-                    rows += zip(text[lo:hi].tolist(), prints, role[lo:hi].tolist())
-            if len(out) > 50_000:
-                yield emit(out)
-                out = []
-        if len(rows) > 1:
-            shard(rows, out)
-        yield emit(out)
+            keys, bounds, sizes, prints = [], [], [], np.empty((batch.num_rows, 2), np.uint64)
+            for i, folded in enumerate(batch.column(1).to_pylist()):
+                own, most = shard_keys(folded, counters)
+                keys.append(own)
+                bounds.append(most)
+                sizes.append(-len(folded) if unspaced(folded) else folded.count(" ") + 1)
+                prints[i] = fingerprint(folded)
+            rows = np.repeat(np.arange(batch.num_rows), [len(k) for k in keys])
+            prints = prints.view(np.int64)[rows]
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(np.array(sizes, np.int32)[rows])]
+            hot = pa.array(np.concatenate(bounds) > BUCKET)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), hot], names=["band", "text", "size", "print", "more", "hot"])
 
     return run
 
 
+def _within(text: np.ndarray, size: np.ndarray, prints: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one large shard. ``role``: 0 the shard's one block, 1 and 2 the two blocks of a pair, of which only
+    pairs across count."""
+    inner = np.flatnonzero(role != 2)
+    outer = inner if role[0] == 0 else np.flatnonzero(role == 2)
+    if not len(inner) or not len(outer):
+        return text[:0], text[:0]
+    # No partner of a text may differ in more bits than one as long as itself.
+    most = radius_of(size[outer], size[outer])
+    found = BKTree(prints[inner]).join(prints[outer], most)
+    i, j = outer[np.concatenate([f[0] for f in found])], inner[np.concatenate([f[1] for f in found])]
+    keep = (text[i] != text[j]) & (distance(prints[i], prints[j]) <= radius_of(size[i], size[j]))
+    if role[0] == 0:
+        keep &= i < j
+    return text[i[keep]], text[j[keep]]
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, cell, text, size, print, more, role) sorted by (band, cell) -> candidate pairs of each shard."""
+
+    def shards_of(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero((t["band"][1:] != t["band"][:-1]) | (t["cell"][1:] != t["cell"][:-1])) + 1
+        starts = np.concatenate([[0], edges])
+        lengths = np.diff(np.append(starts, len(t["band"])))
+        prints = np.stack([t["print"], t["more"]], 1).view(np.uint64)
+        left, right = [], []
+        for lo, n in zip(starts[lengths > LEAF].tolist(), lengths[lengths > LEAF].tolist()):
+            part = slice(lo, lo + n)
+            a, b = _within(t["text"][part], t["size"][part], prints[part], t["role"][part])
+            left.append(a)
+            right.append(b)
+        # Small shards: all of them at once, each row with the one s places further on, as long as there is one.
+        ends = np.repeat(starts + lengths, lengths)
+        at = np.flatnonzero(np.repeat(lengths <= LEAF, lengths))
+        for s in range(1, LEAF):
+            at = at[at + s < ends[at]]
+            if not len(at):
+                break
+            to = at + s
+            ok = (distance(prints[at], prints[to]) <= radius_of(t["size"][at], t["size"][to])) & ((t["role"][at] == 0) | (t["role"][at] != t["role"][to]))
+            left.append(t["text"][at[ok]])
+            right.append(t["text"][to[ok]])
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        both = both[both[:, 0] != both[:, 1]]
+        return both[:, 0], both[:, 1]
+
+    names = ["band", "cell", "text", "size", "print", "more", "role"]
+    rest: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+        if rest is not None:
+            t = {c: np.concatenate([rest[c], t[c]]) for c in names}
+        same = (t["band"] == t["band"][-1]) & (t["cell"] == t["cell"][-1])
+        cut = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+        rest = {c: t[c][cut:] for c in names}
+        if cut:
+            a, b = shards_of({c: t[c][:cut] for c in names})
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+    if rest is not None:
+        a, b = shards_of(rest)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+
+
 def _check(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,9 +325,8 @@ def fold_texts(raw: DataFrame) -> DataFrame:
 
 
 def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """band, cell, text, print, more, role: buckets of at most ``bucket`` texts as they are; of larger ones each pair of blocks.
-
-    The sizes are summed before the shuffle; buckets of one text, which find nothing, are left out here."""
+    """band, cell, text, size, print, more, role: shards of at most ``bucket`` texts as they are; of larger ones each pair of
+    blocks. The sizes are summed before the shuffle; shards of one text, which find nothing, are left out here."""
     sizes = signed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     known = signed.join(sizes, "band")
     blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
@@ -247,15 +339,21 @@ def shards(signed: DataFrame, bucket: int = BUCKET) -> DataFrame:
             ),
         )
     )
-    return known.select("band", "text", "print", "more", F.explode(cells).alias("c")).select("band", F.col("c.cell").alias("cell"), "text", "print", "more", F.col("c.role").alias("role"))
+    columns = ["text", "size", "print", "more"]
+    return known.select("band", *columns, F.explode(cells).alias("c")).select("band", F.col("c.cell").alias("cell"), *columns, F.col("c.role").alias("role"))
+
 
+def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, bucket: int = BUCKET) -> DataFrame:
+    """a, b (a < b): the distinct folded texts that agree. texts: text, folded.
 
-def linked_texts(texts: DataFrame, threshold: float = AGREEMENT, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """a, b (a < b): the distinct folded texts that agree. texts: text, folded."""
-    one = texts.groupBy("text").agg(F.first("folded").alias("folded"))
-    signed = cut_lineage(one.mapInArrow(_sign, "text long, print long, more long, bands array<long>"))
-    placed = shards(signed.select(F.explode("bands").alias("band"), "text", "print", "more"), bucket)
-    found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search(radius), "a long, b long").distinct()
+    Only keys whose counter says that more than a block of texts may hold them are counted one by one."""
+    one = cut_lineage(texts.groupBy("text").agg(F.first("folded").alias("folded")))
+    shared = texts.sparkSession.sparkContext.broadcast(shared_counters(one))
+    signed = cut_lineage(one.mapInArrow(_sign(shared), "band long, text long, size int, print long, more long, hot boolean"))
+    hot = F.col("hot") if bucket >= BUCKET else F.lit(True)
+    few = signed.where(~hot).select("band", F.lit(0).alias("cell"), "text", "size", "print", "more", F.lit(0).alias("role"))
+    placed = few.unionByName(shards(signed.where(hot).drop("hot"), bucket))
+    found = placed.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(_search, "a long, b long").distinct()
     left = one.select(F.col("text").alias("a"), F.col("folded").alias("x"))
     right = one.select(F.col("text").alias("b"), F.col("folded").alias("y"))
     return found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_check(threshold), "a long, b long")

@@ -70,12 +70,55 @@ def test_mapping(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.integers(0, 2**64 - 1), st.integers(0, 40))
-def test_bk_tree_against_brute_force(prints, query, radius):
-    tree = neardup.BKTree()
-    for i, p in enumerate(prints):
-        tree.add(p, i)
-    assert sorted(tree.within(query, radius)) == [i for i, p in enumerate(prints) if (p ^ query).bit_count() <= radius]
+@given(st.integers(1, 200), st.integers(0, 40), st.integers(0, 10_000), st.integers(1, 128))
+def test_bk_tree_against_brute_force(n, radius, seed, spread):
+    rng = np.random.default_rng(seed)
+    flips = np.packbits(rng.random((n, 128)) < spread / 256, axis=1).view(np.uint64)
+    prints = flips ^ rng.integers(0, 1 << 62, 2, dtype=np.uint64)
+    found = neardup.BKTree(prints).join(prints, np.full(n, radius))
+    got = sorted(zip(np.concatenate([f[0] for f in found]).tolist(), np.concatenate([f[1] for f in found]).tolist()))
+    assert got == [(i, j) for i in range(n) for j in range(n) if int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= radius]
+
+
+def _edited(rng, units, share, even):
+    out, k = list(units), int(len(units) * share)
+    for n, at in enumerate([int((i + 0.5) / share) for i in range(k)] if even else rng.sample(range(len(units)), k)):
+        out[at] = chr(0x0E01 + rng.randrange(40)) if len(units[0]) == 1 else f"q{rng.randrange(9999)}"
+    return out
+
+
+def test_shards_and_radius_lose_no_words(data):
+    """A quarter of the words changed, at random or evenly, sentences moved: a shard in common, and within the radius."""
+    import duckdb
+
+    rng = random.Random(9)
+    texts = [r[0] for r in duckdb.sql(f"SELECT DISTINCT source_mechanism FROM '{data}/gold_pairs.parquet'").fetchall()]
+    texts = [neardup.fold(t) for t in texts if neardup.fold(t) and not neardup.unspaced(neardup.fold(t))]
+    counters = np.zeros(neardup.SLOTS, np.int64)
+    for t in texts:
+        np.add.at(counters, neardup._slots(neardup.shard_candidates(t)), 1)
+    for t in texts * 3:
+        words = t.split(" ")
+        share, even = rng.choice([0.05, 0.15, 0.2, 0.25]), rng.random() < 0.5
+        other = _edited(rng, words, share, even)
+        cut = rng.randrange(len(other))
+        other = " ".join(other[cut:] + other[:cut])
+        assert neardup.agreement(t, other) >= neardup.AGREEMENT
+        assert set(neardup.shard_keys(t, counters)[0].tolist()) & set(neardup.shard_keys(other, counters)[0].tolist()), (t, other)
+        n = np.array([t.count(" ") + 1]), np.array([other.count(" ") + 1])
+        assert neardup.distance(neardup.fingerprint(t), neardup.fingerprint(other)) <= neardup.radius_of(*n)[0]
+
+
+def test_thai_shards_with_edits_at_random():
+    rng = random.Random(9)
+    counters, hits = np.ones(neardup.SLOTS, np.int64), {}
+    for share in (0.05, 0.1, 0.15):
+        for _ in range(100):
+            t = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(280))
+            o = "".join(_edited(rng, t, share, False))
+            ok = set(neardup.shard_keys(t, counters)[0].tolist()) & set(neardup.shard_keys(o, counters)[0].tolist())
+            hits[share] = hits.get(share, 0) + bool(ok and neardup.distance(neardup.fingerprint(t), neardup.fingerprint(o)) <= neardup.LETTER_RADIUS)
+    assert hits[0.05] == hits[0.1] == 100 and hits[0.15] >= 98, hits
 
 
 def brute_pairs(rows):
