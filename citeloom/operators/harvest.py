@@ -34,12 +34,23 @@ EXTRACTORS: dict[str, list[Rule]] = {
         Rule(r"(?U)(?<![A-Za-z])[Ss]\.\s+(\d+[A-Za-z]?)(?![\w])", "Section {n}"),
         SECTION,
     ],
-    "paragraph": [Rule(r"(?U)§\s*(\d+[a-z]?)(?![\w])", "§ {n}"), SECTION],
+    "paragraph": [Rule(r"(?U)§\s*(\d+[a-z]?)(?![\w])", "Section {n}"), SECTION],
     "seksyen": [Rule(r"(?U)\bSeksyen\s+(\d+[A-Za-z]?)(?![\w])", "Section {n}"), SECTION],
     "matra": [Rule(r"(?U)มาตรา\s*([๐-๙0-9]+[A-Za-z]?)(?![๐-๙0-9])", "Section {n}"), SECTION],
 }
 
 
+# Which of them a framework's texts take.
+FRAMEWORKS = {"gdpr": "article", "uk_gdpr": "article", "loi_il": "article", "pdpa_sg": "section", "dpa_2012_ph": "section_upper", "dpa_2018": "section_heading", "bdsg": "paragraph", "pdpa_my": "seksyen", "pdpa_th": "matra"}
+
+
+def rules_for(framework: str) -> list[Rule]:
+    """The rules of a framework's texts; a ValueError names one that has none."""
+    if framework not in FRAMEWORKS:
+        raise ValueError(f"no extractor for framework {framework!r}; there are {sorted(FRAMEWORKS)}")
+    return EXTRACTORS[FRAMEWORKS[framework]]
+
+
 def harvest(docs: DataFrame, rules: list[Rule], by: list[str], text: str = "text", position: str | None = None) -> DataFrame:
     """by..., doc_pos, pass, at, canonical, display of every match. Null texts give none; an empty table no rows.
 

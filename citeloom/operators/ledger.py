@@ -59,17 +59,29 @@ def streaks(totals: DataFrame, threshold: float) -> DataFrame:
     return dense.withColumn("breaks", below).groupBy("provider").agg(F.count_if(F.col("breaks") == 0).alias("streak"))
 
 
-def admit_requests(calls: DataFrame, cap: int, key: str = "event_id") -> DataFrame:
-    """``admitted``: whether a call is among the first ``cap`` of its provider and day."""
+def spend_alert(totals: DataFrame, kinds: DataFrame, threshold: float, days: int) -> DataFrame:
+    """exit_code: 1 if a paid provider has spent ``threshold`` or more on each of the last ``days`` recorded dates, else 0.
+    totals: day, provider, cost; kinds: provider, kind."""
+    paid = streaks(totals, threshold).join(kinds.where(F.col("kind") == "paid"), "provider", "left_semi")
+    return paid.agg(F.coalesce(F.max((F.col("streak") >= days).cast("int")), F.lit(0)).alias("exit_code"))
+
+
+def admit_requests(calls: DataFrame, cap: int, key: str = "event_id", override: bool = False) -> DataFrame:
+    """``admitted``: whether a call is among the first ``cap`` of its provider and day. ``override`` admits all calls; they are
+    recorded all the same."""
+    if override:
+        return calls.withColumn("admitted", F.lit(True))
     w = Window.partitionBy("provider", day()).orderBy("ts", key)
     return calls.withColumn("admitted", F.row_number().over(w) <= cap)
 
 
-def admit_spend(calls: DataFrame, cap: float, key: str = "event_id") -> DataFrame:
+def admit_spend(calls: DataFrame, cap: float, key: str = "event_id", override: bool = False) -> DataFrame:
     """key, provider, day, cost, admitted: a call is admitted if what was admitted before it that day and its own cost
     stay within ``cap``; what is rejected spends nothing. A fold in time order, one task per day's and provider's calls,
-    streamed in sorted order, so a large day never has to fit in memory."""
+    streamed in sorted order, so a large day never has to fit in memory. ``override`` admits all calls."""
     rows = calls.select(F.col(key).cast("long").alias(key), "provider", day().alias("day"), "ts", F.col("cost").cast("double").alias("cost"))
+    if override:
+        return rows.drop("ts").withColumn("admitted", F.lit(True))
     ordered = rows.repartition("provider", "day").sortWithinPartitions("provider", "day", "ts", key)
 
     def fold(batches):
@@ -89,33 +101,15 @@ def admit_spend(calls: DataFrame, cap: float, key: str = "event_id") -> DataFram
     return ordered.mapInArrow(fold, f"{key} long, provider string, day date, cost double, admitted boolean")
 
 
-def over_cap(calls: DataFrame, cap: float, key: str = "event_id") -> DataFrame:
-    """``spent`` after each call and ``over``: recorded calls stay in the log even where they go over."""
+def over_cap(calls: DataFrame, cap: float, key: str = "event_id", override: bool = False) -> DataFrame:
+    """``spent`` after each call and ``over``: recorded calls stay in the log even where they go over; with ``override`` none
+    is."""
     w = Window.partitionBy("provider", day()).orderBy("ts", key).rowsBetween(Window.unboundedPreceding, 0)
     spent = F.round(F.sum("cost").over(w), 4)
-    return calls.withColumn("spent", spent).withColumn("over", F.col("spent") > cap)
+    return calls.withColumn("spent", spent).withColumn("over", F.lit(False) if override else F.col("spent") > cap)
 
 
 def window_density(calls: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
     """``in_window``: calls of the provider in the last ``seconds``, this one included; ``dense``: more than ``most``."""
     w = Window.partitionBy("provider").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return calls.withColumn("in_window", F.count("*").over(w)).withColumn("dense", F.col("in_window") > most)
-
-
-def paced(times: list[float], most: int = 10, seconds: float = 60.0, margin: float = 0.5) -> list[float]:
-    """When calls that want to start at ``times`` may start: at most ``most`` in a rolling window."""
-    from collections import deque
-
-    recent: deque[float] = deque()
-    out = []
-    for t in times:
-        now = max(t, out[-1] if out else t)
-        while True:
-            while recent and now - recent[0] > seconds:
-                recent.popleft()
-            if len(recent) < most:
-                break
-            now += max(margin, seconds - (now - recent[0]) + margin)
-        recent.append(now)
-        out.append(now)
-    return out

@@ -223,9 +223,9 @@ def rx04_section_headings(spark, folder):
     return _registry_of(spark, folder, "section_heading")
 
 
-@query(_harvest_sql([(rf"§{_S}*([0-9]+[a-z]?)\b", "§ "), _SECTION]))
+@query(_harvest_sql([(rf"§{_S}*([0-9]+[a-z]?)\b", "Section "), _SECTION]))
 def rx05_paragraph_signs(spark, folder):
-    return _registry_of(spark, folder, "paragraph")
+    return _registry_of(spark, folder, harvest.FRAMEWORKS["bdsg"])
 
 
 @query(_harvest_sql([(rf"\bSeksyen{_S}+([0-9]+[A-Za-z]?)\b", "Section "), _SECTION]))

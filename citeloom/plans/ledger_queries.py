@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,7 +104,14 @@ def wn01_streaks(spark, folder):
     return ledger.streaks(totals, threshold if threshold is not None else 0.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CALLS}, o AS (SELECT event_id, provider, CAST(ts AS DATE) AS day, cost, row_number() OVER (PARTITION BY provider, CAST(ts AS DATE) ORDER BY ts, event_id) AS n FROM calls),
+  f AS (SELECT event_id, provider, day, n, cost <= 500.0 AS admitted, CASE WHEN cost <= 500.0 THEN cost ELSE 0.0 END AS spent FROM o WHERE n = 1
+    UNION ALL
+    SELECT o.event_id, o.provider, o.day, o.n, f.spent + o.cost <= 500.0, CASE WHEN f.spent + o.cost <= 500.0 THEN f.spent + o.cost ELSE f.spent END
+    FROM f JOIN o ON o.provider = f.provider AND o.day = f.day AND o.n = f.n + 1)
+  SELECT event_id, admitted FROM f"""
+)
 def wn02_spend_admission(spark, folder):
     return ledger.admit_spend(_calls(spark, folder), 500.0).select("event_id", "admitted")
 
@@ -139,10 +148,35 @@ def fn18_utc_day(spark, folder):
     return table(spark, folder, "events").select("event_id", ledger.day().alias("day"))
 
 
-@query(f"WITH {_CALLS}, t AS (SELECT provider, max(n) AS n FROM (SELECT provider, CAST(ts AS DATE) AS d, count(*) AS n FROM calls GROUP BY ALL) GROUP BY provider) SELECT CAST(CASE WHEN bool_or(n >= 60) THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM t")
+_PAID_STREAKS = f"""WITH {_CALLS}, t AS (SELECT CAST(ts AS DATE) AS day, provider, round(sum(cost), 4) AS cost FROM calls GROUP BY ALL),
+  m AS (SELECT round(quantile_cont(cost, 0.3), 4) AS thr FROM t),
+  grid AS (SELECT d.day, p.provider, coalesce(t.cost, 0) AS cost FROM (SELECT DISTINCT day FROM t) d CROSS JOIN (SELECT DISTINCT provider FROM t) p LEFT JOIN t USING (day, provider)),
+  b AS (SELECT provider, sum(CASE WHEN cost < (SELECT thr FROM m) THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY day DESC) AS breaks FROM grid),
+  s AS (SELECT provider, count(*) FILTER (WHERE breaks = 0) AS streak FROM b WHERE provider < 'p' GROUP BY provider)"""
+
+
+def _alerts(spark, folder, days: list[int]):
+    calls = _calls(spark, folder)
+    totals = ledger.daily_totals(calls)
+    threshold = totals.agg(F.round(F.percentile("cost", 0.3), 4)).first()[0]
+    parts = [ledger.spend_alert(totals, ledger.provider_kind(_caps(calls)), threshold or 0.0, n).select(F.lit(n).alias("days"), "exit_code") for n in days]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query(_PAID_STREAKS + " SELECT CAST(d.days AS INTEGER) AS days, CAST(coalesce((SELECT max(CASE WHEN streak >= d.days THEN 1 ELSE 0 END) FROM s), 0) AS INTEGER) AS exit_code FROM (VALUES (1), (2), (3), (5), (40)) d(days)")
 def gt03_alert(spark, folder):
-    t = _calls(spark, folder).groupBy("provider", ledger.day().alias("d")).agg(F.count("*").alias("n")).groupBy("provider").agg(F.max("n").alias("n"))
-    return t.agg(F.when(F.bool_or(F.col("n") >= 60), 1).otherwise(0).alias("exit_code"))
+    """The alert of paid providers' streaks, for several lengths."""
+    return _alerts(spark, folder, [1, 2, 3, 5, 40])
+
+
+@query(f"WITH {_CALLS} SELECT event_id, provider < 'p' OR row_number() OVER (PARTITION BY provider, CAST(ts AS DATE) ORDER BY ts, event_id) <= 20 AS admitted, false AS over FROM calls")
+def wn05_override(spark, folder):
+    """Caps of 20 calls a day, overridden for the paid providers; all calls are recorded, none of theirs is over."""
+    calls = _calls(spark, folder)
+    paid = F.col("provider") < "p"
+    parts = [ledger.admit_requests(calls.where(paid), 20, override=True), ledger.admit_requests(calls.where(~paid), 20)]
+    over = ledger.over_cap(calls, 0.0, override=True).select("event_id", "over")
+    return parts[0].unionByName(parts[1]).select("event_id", "admitted").join(over, "event_id")
 
 
 def _lang_docs(spark, folder):

@@ -48,6 +48,33 @@ def admission_stream(calls: DataFrame, cap: float) -> DataFrame:
     return calls.groupBy("provider").applyInPandasWithState(admit, "event_id long, provider string, admitted boolean", "day string, spent double", "append", "NoTimeout")
 
 
+def start_times(wanted: list[float], last: list[float], most: int, seconds: float) -> list[float]:
+    """When calls may start that want to at ``wanted`` (in order), after those that started at ``last``: none before the one
+    ahead of it, nor within ``seconds`` of the one ``most`` places ahead."""
+    starts = list(last)
+    for at in wanted:
+        earliest = [at, *starts[-1:], *([starts[-most] + seconds] if len(starts) >= most else [])]
+        starts.append(max(earliest))
+    return starts[len(last) :]
+
+
+def pacing_stream(calls: DataFrame, most: int = 10, seconds: float = 60.0) -> DataFrame:
+    """event_id, provider, start (seconds since 1970): when each call may start so that a provider has at most ``most`` in
+    any ``seconds``. The state of a provider is its last ``most`` starts."""
+
+    def pace(key: tuple, batches: Iterator, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        last = list(state.get[0]) if state.exists else []
+        starts = start_times([t.timestamp() for t in rows["ts"]], last, most, seconds)
+        state.update(([*last, *starts][-most:],))
+        yield pd.DataFrame({"event_id": rows["event_id"], "provider": key[0], "start": starts})
+
+    timed = calls.select("event_id", "provider", F.col("ts").cast("timestamp").alias("ts"))
+    return timed.groupBy("provider").applyInPandasWithState(pace, "event_id long, provider string, start double", "last array<double>", "append", "NoTimeout")
+
+
 def upsert_stream(updates: DataFrame, target: str, key: list[str], checkpoint: str):
     """Keeps a keyed parquet table up to date from a stream of rows: each batch replaces the rows of its keys."""
     from citeloom.operators.tables import latest, upsert
@@ -57,11 +84,20 @@ def upsert_stream(updates: DataFrame, target: str, key: list[str], checkpoint: s
         jvm = spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(target)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        # The table before this batch stays until the new one has its name; a batch that died in between is undone here.
+        before = jvm.org.apache.hadoop.fs.Path(f"{target}.before")
+        if fs.exists(before):
+            if fs.exists(path):
+                fs.delete(before, True)
+            else:
+                fs.rename(before, path)
         new = latest(batch, key, [F.col("pos")])
         merged = upsert(spark.read.parquet(target), new, key) if fs.exists(path) else new
         staged = f"{target}.{number}"
         merged.write.mode("overwrite").parquet(staged)
-        fs.delete(path, True)
+        if fs.exists(path):
+            fs.rename(path, before)
         fs.rename(jvm.org.apache.hadoop.fs.Path(staged), path)
+        fs.delete(before, True)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -55,7 +55,7 @@ def test_thai_citations_and_marks(spark):
     [
         ("article", "Article 1 Article 2\nArticles 5 to 7 article 3 Article 199.", [("1", "Article 1"), ("2", "Article 2"), ("5", "Article 5"), ("6", "Article 6"), ("7", "Article 7"), ("199", "Article 199")]),
         ("section_upper", "SECTION 1. SEC. 2. SEC. 12. Section 20", [("1", "Section 1"), ("2", "Section 2"), ("12", "Section 12"), ("20", "Section 20")]),
-        ("paragraph", "§ 38 und Section 38, § 38a", [("38", "§ 38"), ("38A", "§ 38a")]),
+        ("paragraph", "§ 38 und Section 38, § 38a", [("38", "Section 38"), ("38A", "Section 38a")]),
         ("matra", "มาตรา ๙๓ Section 93", [("93", "Section 93")]),
         ("section", "- 13. Consent\n- **26D.** Duty\n**3.**", [("3", "Section 3"), ("13", "Section 13"), ("26D", "Section 26D")]),
         ("article", None, []),
@@ -116,3 +116,13 @@ def test_overlap_and_winner(spark):
 def test_slices_of_nothing(spark):
     empty = spark.createDataFrame([], "match int, score double")
     assert tuple(empty.agg(*scoring.slice_measures()).first()) == (0, 0.0, 0.0, 0.0)
+
+
+def test_rules_by_framework():
+    import pytest
+
+    from citeloom.operators import harvest
+
+    assert harvest.rules_for("bdsg")[0].display == "Section {n}" and all(harvest.rules_for(f) for f in harvest.FRAMEWORKS)
+    with pytest.raises(ValueError, match="nowhere"):
+        harvest.rules_for("nowhere")

@@ -36,9 +36,24 @@ def test_streaks_count_recorded_dates(spark):
 
 
 def test_pacing():
-    got = ledger.paced([0.0] * 12)
-    assert got[:10] == [0.0] * 10 and got[10] > 60.0 and got == sorted(got)
-    assert all(sum(1 for t in got if x - 60.0 <= t <= x) <= 10 for x in got)
+    from citeloom.streaming.calls import start_times
+
+    rng = random.Random(2)
+    wanted = sorted(rng.uniform(0, 300) for _ in range(80)) + [1000.0]
+    got = start_times(wanted[:30], [], 10, 60.0)
+    got += start_times(wanted[30:], got[-10:], 10, 60.0)
+    assert got == sorted(got) and all(g >= w for g, w in zip(got, wanted)) and got[-1] == 1000.0
+    assert all(b - a > 59.999999 for a, b in zip(got, got[10:])) and got == start_times(wanted, [], 10, 60.0)
+
+
+def test_override_and_alert(spark):
+    rows = [(0, "a", 9.0), (1, "a", 9.0), (90_000, "a", 8.0), (90_001, "b", 99.0)]
+    c = calls(spark, rows)
+    assert c.count() == ledger.admit_requests(c, 1, override=True).where("admitted").count() == ledger.admit_spend(c, 1.0, override=True).where("admitted").count()
+    assert ledger.over_cap(c, 1.0, override=True).where("over").count() == 0 < ledger.over_cap(c, 1.0).where("over").count()
+    kinds = spark.createDataFrame([("a", "paid"), ("b", "free")], "provider string, kind string")
+    code = lambda threshold, days: ledger.spend_alert(ledger.daily_totals(c), kinds, threshold, days).first()[0]
+    assert code(8.0, 2) == 1 and code(8.5, 2) == 0 and code(8.0, 3) == 0 and code(50.0, 1) == 0
 
 
 def test_pricing_problems(spark):
