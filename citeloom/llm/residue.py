@@ -164,7 +164,7 @@ def host_lines(docs: DataFrame, host: str = "source", text: str = "text") -> Dat
 
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """host, line: the lines whose share of the host's pages is BOILERPLATE_SHARE or more, by the lower end of Wilson's
-    interval of 95 %, so that hosts of a few pages need a larger share; one page alone is none. One pass over the texts."""
+    interval of 95 %, so that hosts of a few pages need a larger share; one page alone is none."""
     counted = host_lines(docs, host, text)
     sizes = counted.where(F.col("line").isNull()).select("host", F.col("pages").alias("n"))
     z = 1.645
