@@ -5,7 +5,7 @@ with slips of the keyboard. Each distinct value is resolved once:
 
 1. what names a number is read as one (units, ordinals, Roman numerals, number words, confused characters);
 2. the distinct tokens of the others are joined to the tokens of all headings by edit distance, over shared deletion
-   variants (an equi-join), and checked;
+   variants or, of long words, shared parts (an equi-join), and checked;
 3. soft TF-IDF of the repaired tokens ranks the headings of the value's framework; the best is taken if its whole text
    is within a few edits.
 
@@ -28,6 +28,8 @@ from citeloom.session import cut_lineage
 UNMATCHED = "unmatched"
 #: Least soft TF-IDF score of a heading, and the share of its characters that may differ.
 MIN_SCORE, MAX_EDIT_SHARE = 0.5, 0.14
+#: Words of more characters are found by their parts instead of by deletion variants, whose number grows with the square.
+LONG = 24
 
 # Words for a section, words for other units, and number words.
 SECTION_WORDS = {"article", "section", "paragraph", "clause", "artikel", "seksyen", "pasal", "art", "sec", "sect", "para", "cl", "s", "arts", "ss", "§", "§§", "มาตรา", "paragraf", "fasal"}
@@ -225,7 +227,7 @@ def heading_text(c: Column) -> Column:
 def _variants(word: str) -> list[str]:
     """The word and what is left of it without one or two characters; how many may go depends on its length."""
     n = len(word)
-    most = 0 if n < 4 else 1 if n < 6 or n > 24 else 2
+    most = 0 if n < 4 else 1 if n < 6 else 2
     out = {word}
     for k in range(1, most + 1):
         for gone in combinations(range(n), k):
@@ -233,22 +235,48 @@ def _variants(word: str) -> list[str]:
     return sorted(out)
 
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for w in batch.column(0).to_pylist():
-            v = _variants(w)
-            a += [w] * len(v)
-            b += v
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["word", "variant"])
+def _thirds(n: int) -> list[tuple[int, int]]:
+    """Where the three parts of a word of ``n`` characters begin and end: two edits leave one of them as it is."""
+    return [(i * n // 3, (i + 1) * n // 3) for i in range(3)]
+
+
+def _word_keys(word: str) -> list[str]:
+    """What a word of the vocabulary is found by: its variants, of a word of more than LONG characters its parts. The
+    blanks in front, which no variant has, keep the two apart."""
+    n = len(word)
+    return _variants(word) if n <= LONG else [f" {n} {i} {word[lo:hi]}" for i, (lo, hi) in enumerate(_thirds(n))]
+
+
+def _token_keys(token: str) -> list[str]:
+    """The keys of all words that a token may be: its variants, and the parts of longer words, moved by two places at most."""
+    n = len(token)
+    out = set(_variants(token)) if n <= LONG + 2 else set()
+    for m in range(max(LONG + 1, n - 2), n + 3):
+        for i, (lo, hi) in enumerate(_thirds(m)):
+            out.update(f" {m} {i} {token[lo + k : hi + k]}" for k in range(-2, 3) if 0 <= lo + k and hi + k <= n)
+    return sorted(out)
+
+
+def _key_rows(keys_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for w in batch.column(0).to_pylist():
+                v = keys_of(w)
+                a += [w] * len(v)
+                b += v
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["word", "variant"])
+
+    return run
 
 
 def join_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """token, word, sim: each distinct token with the vocabulary words next to it by edit distance (0, 1 or 2 by length)."""
-    # Longer tokens than any word and its two edits have no partner.
+    # No cut: the distance is the difference of the lengths at least, so a token more than two characters longer than the
+    # longest word has no partner.
     longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
-    left = tokens.where(F.length("token") <= longest + 2).select(F.col("token").alias("word")).distinct().mapInArrow(_variant_rows, "word string, variant string").withColumnRenamed("word", "token")
-    right = vocabulary.select("word").distinct().mapInArrow(_variant_rows, "word string, variant string")
+    left = tokens.where(F.length("token") <= longest + 2).select(F.col("token").alias("word")).distinct().mapInArrow(_key_rows(_token_keys), "word string, variant string").withColumnRenamed("word", "token")
+    right = vocabulary.select("word").distinct().mapInArrow(_key_rows(_word_keys), "word string, variant string")
     near = left.join(right, "variant").select("token", "word").distinct()
     most = F.when(F.length("token") < 4, 0).when(F.length("token") < 6, 1).otherwise(2)
     # Exchanged neighbours are two edits of the built-in distance.

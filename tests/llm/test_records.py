@@ -50,6 +50,25 @@ def test_tokens_join_like_brute_force(spark):
                 assert (t, w) not in got
 
 
+def test_tokens_of_long_words_against_brute_force(spark):
+    """Two edits of words around and beyond LONG characters, as German headings have them."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(n)) for n in (*range(21, 31), 45, 70)] + ["datenschutzfolgenabschätzungen", "a" * 26]
+    tokens = set(vocabulary)
+    for w in vocabulary:
+        for _ in range(30):
+            t = w
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                k = rng.randrange(len(t))
+                t = rng.choice([t[:k] + t[k + 1 :], t[:k] + rng.choice(letters) + t[k:], t[:k] + rng.choice(letters) + t[k + 1 :]])
+            tokens.add(t)
+    one = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.token, r.word) for r in canonical.join_tokens(one(tokens, "token"), one(vocabulary, "word")).collect()}
+    pairs = one(tokens, "token").crossJoin(one(vocabulary, "word")).where("levenshtein(token, word) <= 2").collect()
+    assert got == {(r.token, r.word) for r in pairs} and len(got) > 200
+
+
 ENTRY = "framework string, citation_id string, display_id string, heading string, value string, n long"
 
 
