@@ -140,6 +140,44 @@ def test_thai_shards_with_edits_at_random():
     assert hits[0.05] == hits[0.1] == 100 and hits[0.15] >= 90, hits
 
 
+def test_shards_beyond_every_size_against_brute_force(monkeypatch):
+    """Small and large shards, trees and pairs of blocks, in few comparisons at once, return the same pairs."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    texts = sorted({" ".join(_edited(rng, base, rng.choice([0.1, 0.2, 0.4, 0.9]), False)) for _ in range(400)})
+    words, sizes = neardup._tokens(neardup.pa.array(texts))
+    prints = neardup._word_prints(words, sizes)
+    assert (prints == np.stack([neardup.fingerprint(t) for t in texts])).all()
+    most = neardup.radius_of(sizes, sizes)[0]
+    for shard in (1, 5, 30, 400):
+        key = np.arange(len(texts)) % (len(texts) // shard)
+        near = lambda i, j: key[i] == key[j] and int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= most
+        want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(i, j)}
+        for small, large, tile in ((64, 4096, 1 << 16), (2, 4096, 100), (2, 50, 1000)):
+            monkeypatch.setattr(neardup, "SMALL", small)
+            monkeypatch.setattr(neardup, "LARGE", large)
+            monkeypatch.setattr(neardup, "TILE", tile)
+            got = neardup._part_candidates(key.astype(np.uint32), np.arange(len(texts)), np.zeros(len(texts), np.uint8), sizes, prints, False)
+            assert {(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in got} == want
+            side = np.array([rng.randrange(2) for _ in texts], np.uint8)
+            got = neardup._part_candidates(key.astype(np.uint32), np.arange(len(texts)), side, sizes, prints, True)
+            assert {(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in got} == {(i, j) for i, j in want if side[i] != side[j]}
+
+
+def test_many_texts_are_signed_and_checked_as_single_ones(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 30))) for _ in range(50)]
+    counters = np.random.default_rng(1).integers(0, 9, neardup.SLOTS)
+    keys, most, text = neardup._word_shard_keys(*neardup._tokens(neardup.pa.array(texts)), counters)
+    for i, t in enumerate(texts):
+        assert [x.tolist() for x in neardup.shard_keys(t, counters)] == [keys[text == i].tolist(), most[text == i].tolist()]
+    thai = ["".join(chr(0x0E01 + rng.randrange(5)) for _ in range(rng.choice([2, 30, 60, 400]))) for _ in range(40)]
+    pairs = [(a, b) for a in thai for b in (rng.choice(thai), "".join(_edited(rng, a, 0.2, False)))]
+    for most_counts in (1 << 25, 300):
+        monkeypatch.setattr(neardup, "COUNTS", most_counts)
+        assert neardup.letter_agreements(*map(list, zip(*pairs))).tolist() == [neardup.agreement(a, b) for a, b in pairs]
+
+
 def brute_pairs(rows):
     out = set()
     folded = [(i, neardup.fold(s), neardup.fold(t)) for i, s, t in rows]
